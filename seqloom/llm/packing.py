@@ -76,7 +76,26 @@ def best_configuration(sizes: np.ndarray, values: np.ndarray, most: np.ndarray,
     return out
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, classes: int = 160, eps: float = 0.25, favour: float = 0.1) -> list[tuple[np.ndarray, np.ndarray, int]]:
+Plan = list[tuple[np.ndarray, np.ndarray, int]]
+
+
+def best_plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, close: float = 0.001) -> Plan:
+    """The plan of fewest containers of a coarse, a fine and no program at all
+    (the rounding alone); the first that is ``close`` to the bound is taken."""
+    if not len(sizes):
+        return []
+    bound = max(-(-int((sizes * counts).sum()) // capacity), int(counts[2 * sizes > capacity].sum()))
+    best: Plan | None = None
+    for rounds, eps in ((40, 0.25), (400, 0.1), (0, 1.0)):
+        plan = configurations(sizes, counts, capacity, rounds, eps=eps)
+        if best is None or sum(n for *_, n in plan) < sum(n for *_, n in best):
+            best = plan
+        if sum(n for *_, n in best) <= (1 + close) * bound:
+            break
+    return best
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, classes: int = 160, eps: float = 0.25, favour: float = 0.1) -> Plan:
     """Plan of (sizes, times of each, number of containers) that places every item.
 
     rounds: steps of multiplicative weights. classes: at most so many lengths
@@ -101,7 +120,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         solution[key] = solution.get(key, 0.0) + step
         covered[in_it] += step * times
         weights[in_it] -= step * times / counts[in_it]
-    plan: list[tuple[np.ndarray, np.ndarray, int]] = []
+    plan: Plan = []
 
     def take(in_it: np.ndarray, times: np.ndarray, n: int) -> None:
         left[in_it] -= n * times
@@ -156,7 +175,7 @@ def pack(items: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
     histogram = shares.groupBy("size").agg(F.sum("c").alias("c")).orderBy("size").collect()
     sizes = np.array([r["size"] for r in histogram], np.int64)
     counts = np.array([r["c"] for r in histogram], np.int64)
-    plan = configurations(sizes, counts, capacity)
+    plan = best_plan(sizes, counts, capacity)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     given: dict[int, int] = {}
     base = 0
