@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("general",)
+FAMILIES = ("general", "assignment")
 
 
 def _merged(what: str) -> dict:
