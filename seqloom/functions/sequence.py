@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Splice-site dinucleotides (donor, acceptor) and their class.
 SPLICE_CLASSES = {("GT", "AG"): 1, ("CT", "AC"): 2, ("GC", "AG"): 3, ("CT", "GC"): 4, ("AT", "AC"): 5, ("GT", "AT"): 6}
@@ -95,12 +96,12 @@ def fisher_one_sided(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray)
     return np.minimum(out, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(fisher_one_sided(a, b, c, d))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def inverse_normal(p: pd.Series) -> pd.Series:
     """Quantiles of the standard normal distribution, by Newton's method."""
     x = np.where(p < 0.5, -1.0, 1.0) * np.sqrt(np.maximum(0, -2 * np.log(np.minimum(p, 1 - p)))) * 0.8

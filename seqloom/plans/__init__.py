@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("general", "assignment")
+FAMILIES = ("general", "assignment", "genome", "sequence")
 
 
 def _merged(what: str) -> dict:
