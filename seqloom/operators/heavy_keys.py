@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from seqloom.session import materialize
 
-_PARTIAL = "k string, b long, n long, m long, total long, last timestamp"
-_SEGMENT = "k string, pid int, n long, m long, total long, last timestamp, first_b long, last_b long, n_b long, gap long"
+_PARTIAL = "k string, b long, n long, m long, total long, last long"
+_SEGMENT = "k string, pid int, n long, m long, total long, last long, first_b long, last_b long, n_b long, gap long"
 
 
 def _reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_null = np.asarray(batch.column(1).is_null().to_numpy(zero_copy_only=False))
         b = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
         sums = [np.add.reduceat(batch.column(i).to_numpy(zero_copy_only=False), cut) for i in (2, 3, 4)]
-        last = batch.column(5).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        last = batch.column(5).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         last = np.maximum.reduceat(last, cut)
         out = []
         for i, (lo, hi) in enumerate(zip(cut, stops)):
@@ -107,10 +107,17 @@ def _stitch(a: dict, b: dict) -> dict:
 
 
 def _segment_batch(rows: list[dict]) -> pa.RecordBatch:
-    schema = pa.schema([("k", pa.string()), ("pid", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("total", pa.int64()), ("last", pa.timestamp("us", "UTC")), ("first_b", pa.int64()), ("last_b", pa.int64()), ("n_b", pa.int64()), ("gap", pa.int64())])
+    schema = pa.schema([("k", pa.string()), ("pid", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("total", pa.int64()), ("last", pa.int64()), ("first_b", pa.int64()), ("last_b", pa.int64()), ("n_b", pa.int64()), ("gap", pa.int64())])
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _micros(df: DataFrame, order: str) -> Column:
+    """Microseconds since 1970; a timestamp without zone is taken as it reads."""
+    if df.schema[order].dataType.simpleString() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), df[order])
+    return F.unix_micros(df[order].cast("timestamp"))
+
+
 def key_profile(df: DataFrame, key: str, order: str, value: Column | None = None) -> DataFrame:
     """Counts, lengths, last load and load gaps of every key of ``key``.
 
@@ -118,7 +125,7 @@ def key_profile(df: DataFrame, key: str, order: str, value: Column | None = None
     is a whole number to be added up (null values add nothing).
 
     Result: key_value, n_rows, n_values (rows whose value isn't null), total,
-    last_load, n_days (days with a row), longest_gap_days (greatest distance
+    last_load (microseconds since 1970), n_days (days with a row), longest_gap_days (greatest distance
     between neighbouring days with rows, 0 for a single day).
 
     Null keys form one result row of their own with key_value null. Rows whose
@@ -134,7 +141,7 @@ def key_profile(df: DataFrame, key: str, order: str, value: Column | None = None
         F.lit(1).cast("long").alias("n"),
         value.isNotNull().cast("long").alias("m"),
         F.coalesce(value.cast("long"), F.lit(0).cast("long")).alias("total"),
-        df[order].cast("timestamp").alias("last"),
+        _micros(df, order).alias("last"),
     )
     partial = materialize(rows.mapInArrow(_reduce_batches, _PARTIAL))
     pieces = partial.repartitionByRange("k", "b").sortWithinPartitions("k", "b").mapInArrow(_segments, _SEGMENT)

@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profile(df: DataFrame, key: str, value) -> DataFrame:
-    return key_profile(df, key, "loaded_at", value).withColumn("last_load", F.unix_micros("last_load"))
+    return key_profile(df, key, "loaded_at", value)
 
 
 def p1_gene_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
