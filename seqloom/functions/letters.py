@@ -66,6 +66,25 @@ def window_hashes(codes: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndar
     return mix(out[: len(codes) - k + 1])
 
 
+def window_codes(digits: np.ndarray, k: int) -> np.ndarray:
+    """Exact two-bit codes of every window of k <= 31 digits 0 to 3, by doubling."""
+    out, have, power, width, rest = None, 0, digits.astype(np.int64), 1, k
+    while rest:
+        if rest & 1:
+            if out is None:
+                out, have = power, width
+            else:
+                n = len(digits) - have - width + 1
+                out = (out[:n] << 2 * width) | power[have : have + n]
+                have += width
+        rest >>= 1
+        if rest:
+            n = len(power) - width
+            power = (power[:n] << 2 * width) | power[width : width + n]
+            width *= 2
+    return out[: max(0, len(digits) - k + 1)]
+
+
 def row_blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` letters together, one row at least."""
     n, lo = len(offsets) - 1, 0

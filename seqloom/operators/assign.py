@@ -115,46 +115,68 @@ def assign(fragments: DataFrame, features: DataFrame, o: Options = Options()) ->
     them gets, in 1/65536.
     """
     judged = fragments.withColumn("status", filter_status(o))
+    found = _winners(judged, features, o).select("frag", "top", "won")
+    out = judged.select("frag", "r1", "r2", "status").join(found, "frag", "left")
+    n = F.size("won")
+    status = F.coalesce("status", F.when(F.col("won").isNull(), "Unassigned_NoFeatures").when(F.col("top") == 0, "Unassigned_Overlapping_Length").when((n > 1) & F.lit(not o.allow_overlap), "Unassigned_Ambiguity").otherwise("Assigned"))
+    nh = F.greatest(F.coalesce(F.col("r1.nh"), F.lit(1)), F.coalesce(F.col("r2.nh"), F.lit(1)), F.lit(1))
+    done = status == "Assigned"
+    return out.select("frag", status.alias("status"), F.when(done, F.col("won")).alias("targets"), F.when(done, _increment(nh, n, o)).alias("increment"))
+
+
+def count_targets(fragments: DataFrame, features: DataFrame, o: Options = Options()) -> DataFrame:
+    """The same as ``target_counts(assign(...))``, for when the statuses aren't
+    wanted: fragments are read once and those without hits go no further."""
+    won = _winners(fragments.withColumn("status", filter_status(o)), features, o).filter("top > 0")
+    if not o.allow_overlap:
+        won = won.filter(F.size("won") == 1)
+    return won.select(F.explode("won").alias("target"), _increment(F.greatest("nh", F.lit(1)), F.size("won"), o).alias("increment")).groupBy("target").agg(F.sum("increment").alias("count65536"))
+
+
+def _increment(nh: Column, n: Column, o: Options) -> Column:
+    unit = F.floor(F.lit(UNIT) / nh) if o.fraction and not o.primary_only else F.lit(UNIT)
+    return (F.floor(unit / n) if o.allow_overlap and o.fraction else unit).cast("long")
+
+
+def _winners(judged: DataFrame, features: DataFrame, o: Options) -> DataFrame:
+    """(frag, nh, top, won): targets of the greatest score of every fragment
+    with hits. Hits are shuffled once, by fragment."""
     go = judged.filter("status is null")
-    mates = go.select("frag", F.explode(F.filter(F.array(F.struct(F.lit(1).alias("mate"), F.col("r1").alias("r")), F.struct(F.lit(2).alias("mate"), F.col("r2").alias("r"))), lambda x: x.r.isNotNull() & ~fl.has(x.r.flag, fl.UNMAPPED))).alias("m"))
-    strand = fl.fragment_strand(F.col("m.r.flag")) if o.paired else fl.fragment_strand(F.col("m.r.flag"))
-    parts = mates.select("frag", "m.mate", F.col("m.r.chr").alias("chr"), strand.alias("read_strand"), fl.has(F.col("m.r.flag"), fl.REVERSE).alias("minus"), F.explode("m.r.sections").alias("s")).select("frag", "mate", "chr", "read_strand", "minus", F.col("s.start").alias("sec_start"), F.col("s.stop").alias("sec_stop"))
+    nh = F.greatest(F.coalesce(F.col("r1.nh"), F.lit(1)), F.coalesce(F.col("r2.nh"), F.lit(1))).alias("nh")
+    mates = go.select("frag", nh, F.explode(F.filter(F.array(F.struct(F.lit(1).alias("mate"), F.col("r1").alias("r")), F.struct(F.lit(2).alias("mate"), F.col("r2").alias("r"))), lambda x: x.r.isNotNull() & ~fl.has(x.r.flag, fl.UNMAPPED))).alias("m"))
+    parts = mates.select("frag", "nh", "m.mate", F.col("m.r.chr").alias("chr"), fl.fragment_strand(F.col("m.r.flag")).alias("read_strand"), fl.has(F.col("m.r.flag"), fl.REVERSE).alias("minus"), F.explode("m.r.sections").alias("s")).select("frag", "nh", "mate", "chr", "read_strand", "minus", F.col("s.start").alias("sec_start"), F.col("s.stop").alias("sec_stop"))
     extra = 1 - o.min_overlap if o.min_overlap < 1 else 0
     if o.shift or o.extend_five or o.extend_three or o.reduce_to or extra:
         lo, hi = shifted(F.col("sec_start"), F.col("sec_stop"), F.col("minus"), o.shift, o.shift_kind, o.extend_five + extra, o.extend_three + extra, o.reduce_to)
-        parts = parts.withColumn("_lo", lo).withColumn("_hi", hi).select("frag", "mate", "chr", "read_strand", F.col("_lo").alias("sec_start"), F.col("_hi").alias("sec_stop"))
+        parts = parts.withColumn("_lo", lo).withColumn("_hi", hi).select("frag", "nh", "mate", "chr", "read_strand", F.col("_lo").alias("sec_start"), F.col("_hi").alias("sec_stop"))
     target = F.col("feature_id").cast("string") if o.feature_level else F.col("gene")
     fe = features.select("feature_id", target.alias("target"), "chr", F.col("start").alias("f_start"), F.col("stop").alias("f_stop"), F.col("strand").alias("f_strand"))
     hits = overlap_join(parts, fe, ["chr"], ("sec_start", "sec_stop"), ("f_start", "f_stop"))
     if o.strand:
         same = F.col("read_strand") == F.col("f_strand")
         hits = hits.filter(same if o.strand == 1 else ~same)
-    hit = hits.select("frag", "mate", "target", "feature_id", "f_start", "f_stop", F.greatest("sec_start", "f_start").alias("a"), F.least("sec_stop", "f_stop").alias("z"))
+    hit = hits.select("frag", "nh", "mate", "target", "feature_id", "f_start", "f_stop", F.greatest("sec_start", "f_start").alias("a"), F.least("sec_stop", "f_stop").alias("z"))
+    n_mates = F.bit_count(F.bit_or(F.col("mate"))).alias("mates")  # mates are 1 and 2, so their bits differ
     if o.measures:
         if o.frac_overlap_feature > 0 or o.non_overlap_feature is not None:
             own = hit.groupBy("frag", "feature_id", "f_start", "f_stop").agg(union_length(F.collect_list(F.struct("a", "z"))).alias("n"))
             span = F.col("f_stop") - F.col("f_start") + 1
             least = F.greatest(_ceil(span * F.lit(o.frac_overlap_feature)), span - o.non_overlap_feature if o.non_overlap_feature is not None else F.lit(0))
             hit = hit.join(own.filter(F.col("n") >= least).select("frag", "feature_id"), ["frag", "feature_id"], "left_semi")
-        scored = hit.groupBy("frag", "target").agg(F.count_distinct("mate").alias("mates"), union_length(F.collect_list(F.struct("a", "z"))).alias("bases"))
-        length = parts.groupBy("frag").agg(union_length(F.collect_list(F.struct(F.col("sec_start").alias("a"), F.col("sec_stop").alias("z")))).alias("length"))
-        scored = scored.join(length, "frag")
+        scored = hit.repartition("frag").groupBy("frag", "nh", "target").agg(n_mates, union_length(F.collect_list(F.struct("a", "z"))).alias("bases"))
+        if o.frac_overlap > 0 or o.non_overlap is not None:
+            length = parts.groupBy("frag").agg(union_length(F.collect_list(F.struct(F.col("sec_start").alias("a"), F.col("sec_stop").alias("z")))).alias("length"))
+            scored = scored.join(length, "frag")
+        else:
+            scored = scored.withColumn("length", F.lit(0))
         votes = F.when(F.col("mates") > 1, 1).otherwise(0) + 2 * F.col("bases") if o.largest_overlap else F.lit(1) if o.allow_overlap else F.col("mates")
         least = F.greatest(F.lit(max(1, o.min_overlap)).cast("long"), _ceil(F.col("length") * F.lit(o.frac_overlap)), F.col("length") - o.non_overlap if o.non_overlap is not None else F.lit(0).cast("long"))
         scored = scored.withColumn("score", F.when(F.col("bases") >= least, votes).otherwise(0))
     else:
-        scored = hit.groupBy("frag", "target").agg(F.count_distinct("mate").alias("mates")).withColumn("score", F.lit(1) if o.allow_overlap else F.col("mates"))
-    top = scored.groupBy("frag").agg(F.max("score").alias("top"), F.sort_array(F.collect_list(F.struct("score", "target"))).alias("all"))
+        scored = hit.select("frag", "nh", "mate", "target").repartition("frag").groupBy("frag", "nh", "target").agg(n_mates).withColumn("score", F.lit(1) if o.allow_overlap else F.col("mates"))
+    top = scored.groupBy("frag", "nh").agg(F.max("score").alias("top"), F.sort_array(F.collect_list(F.struct("score", "target"))).alias("all"))
     winners = F.transform(F.filter("all", lambda x: x.score == F.col("top")), lambda x: x.target)
-    found = top.select("frag", "top", winners.alias("won"))
-    out = judged.select("frag", "r1", "r2", "status").join(found, "frag", "left")
-    n = F.size("won")
-    status = F.coalesce("status", F.when(F.col("won").isNull(), "Unassigned_NoFeatures").when(F.col("top") == 0, "Unassigned_Overlapping_Length").when((n > 1) & F.lit(not o.allow_overlap), "Unassigned_Ambiguity").otherwise("Assigned"))
-    nh = F.greatest(F.coalesce(F.col("r1.nh"), F.lit(1)), F.coalesce(F.col("r2.nh"), F.lit(1)), F.lit(1))
-    unit = F.floor(F.lit(UNIT) / nh) if o.fraction and not o.primary_only else F.lit(UNIT)
-    unit = F.floor(unit / n) if o.allow_overlap and o.fraction else unit
-    done = status == "Assigned"
-    return out.select("frag", status.alias("status"), F.when(done, F.col("won")).alias("targets"), F.when(done, unit.cast("long")).alias("increment"))
+    return top.select("frag", "nh", "top", winners.alias("won"))
 
 
 def target_counts(assigned: DataFrame) -> DataFrame:

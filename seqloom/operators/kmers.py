@@ -11,21 +11,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.functions.letters import letters, row_blocks, window_index
-from seqloom.functions.sequence import reverse_complement
+from seqloom.functions.letters import letters, row_blocks, window_codes, window_index
+from seqloom.functions.sequence import kmer_code, reverse_complement
+
+
+# Two-bit codes of the bases.
+CODES = {"A": 0, "G": 1, "C": 2, "T": 3}
 
 
 def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1) -> DataFrame:
     """Rows of ``df`` (without seq) with offset (from 0) and kmer, of windows
     that begin every ``step`` letters and hold only A, C, G and T (any case).
+    kmer is the window's two-bit code, k at most 31.
 
     Windows are cut from whole Arrow batches at once: a column expression
     would walk each text from its start for every window.
     """
     rest = [c for c in df.columns if c != seq]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("offset", T.IntegerType()), T.StructField("kmer", T.StringType())])
-    plain = np.zeros(256, bool)
-    plain[list(b"ACGT")] = True
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("offset", T.IntegerType()), T.StructField("kmer", T.LongType())])
+    digit = np.full(256, 255, np.uint8)
+    for base, code in CODES.items():
+        digit[ord(base)] = code
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,14 +41,12 @@ def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1) -> DataFrame:
                 row, at = window_index(own, k)
                 if not len(at):
                     continue
-                keep = (at - own[row]) % step == 0
-                bad = np.concatenate([[0], np.cumsum(~(plain[np.minimum(c, 255)] & (c < 128)))])
-                keep &= bad[at + k] == bad[at]
+                d = np.where(c < 256, digit[np.minimum(c, 255)], 255)
+                bad = np.concatenate([[0], np.cumsum(d == 255)])
+                keep = ((at - own[row]) % step == 0) & (bad[at + k] == bad[at])
                 row, at = row[keep], at[keep]
-                text = np.lib.stride_tricks.sliding_window_view(c.astype(np.uint8), k)[at]
-                kmer = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * k), pa.py_buffer(np.ascontiguousarray(text)))
                 take = pa.array(lo + row)
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(len(rest))] + [pa.array((at - own[row]).astype(np.int32)), kmer], names=[*rest, "offset", "kmer"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(len(rest))] + [pa.array((at - own[row]).astype(np.int32)), pa.array(window_codes(d & 3, k)[at])], names=[*rest, "offset", "kmer"])
 
     return df.select(*rest, seq).mapInArrow(cut, schema)
 
@@ -52,19 +56,20 @@ def index(contigs: DataFrame, contig: str, seq: str, start: str | None = None, k
     times. Hot k-mers are found by a count that is combined before its shuffle
     and taken out by an anti join, which also takes their skew out of joins."""
     cols = [F.col(contig).alias("contig"), F.col(seq).alias("s"), (F.col(start) if start else F.lit(0)).cast("long").alias("o")]
-    places = windows(contigs.select(*cols), "s", k, step).select("kmer", "contig", (F.col("o") + F.col("offset")).alias("pos"))
-    hot = places.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("kmer")
+    cut = windows(contigs.select(*cols), "s", k, step)
+    places = cut.select("kmer", "contig", (F.col("o") + F.col("offset")).alias("pos"))
+    hot = cut.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("kmer")
     return places.join(hot, "kmer", "left_anti")
 
 
 def subreads(reads: DataFrame, read: str, seq: str, n: int = 10, k: int = 16) -> DataFrame:
-    """(read, strand, offset, kmer): ``n`` evenly spaced windows of each read
-    of either strand (0 as is, 1 reversed and complemented)."""
+    """(read, strand, offset, letters, kmer): ``n`` evenly spaced windows of
+    each read of either strand (0 as is, 1 reversed and complemented)."""
     both = reads.filter(F.length(seq) >= k).select(F.col(read).alias("read"), F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.upper(seq).alias("s")), F.struct(F.lit(1).alias("strand"), F.upper(reverse_complement(seq)).alias("s")))).alias("x")).select("read", "x.strand", "x.s")
     last = F.length("s") - k
     spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * last / max(1, n - 1)).cast("int")))
-    out = both.withColumn("offset", F.explode(spots)).select("read", "strand", "offset", F.substring(F.col("s"), F.col("offset") + 1, F.lit(k)).alias("kmer"))
-    return out.filter(~F.col("kmer").rlike("[^ACGT]"))
+    out = both.withColumn("offset", F.explode(spots)).select("read", "strand", "offset", F.substring(F.col("s"), F.col("offset") + 1, F.lit(k)).alias("letters"))
+    return out.withColumn("kmer", kmer_code("letters", k)).filter("kmer is not null")
 
 
 def votes(seeds: DataFrame, places: DataFrame, tolerance: int = 0) -> DataFrame:
@@ -74,7 +79,9 @@ def votes(seeds: DataFrame, places: DataFrame, tolerance: int = 0) -> DataFrame:
     hits = seeds.join(places, "kmer").withColumn("diagonal", F.col("pos") - F.col("offset"))
     if tolerance:
         hits = hits.withColumn("diagonal", F.floor(F.col("diagonal") / (tolerance + 1)) * (tolerance + 1))
-    return hits.groupBy("read", "strand", "contig", "diagonal").agg(F.count_distinct("offset").alias("votes"), F.min("offset").alias("c_start"), F.max("offset").alias("c_stop"))
+    # a seed may meet its diagonal at more than one place of a contig's overlapping blocks
+    once = hits.groupBy("read", "strand", "contig", "diagonal", "offset").agg(F.lit(1).alias("one"))
+    return once.groupBy("read", "strand", "contig", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("offset").alias("c_start"), F.max("offset").alias("c_stop"))
 
 
 def best_votes(voted: DataFrame, distinct_counts: int = 3, least: int = 1) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.cigar import leading_clip
-from seqloom.functions.letters import letters, row_blocks
+from seqloom.functions.letters import letters
 from seqloom.functions.sequence import fisher
 
 
@@ -35,30 +35,71 @@ def base_counts(reads: DataFrame, least_score: int = 13, trim: int = 3) -> DataF
     the bases of one fragment at one position the best scored counts (then the
     least letter).
     """
-    bases = reads.select("fragment", "chr", "pos", "seq", "qual").filter("seq is not null and qual is not null and pos is not null").mapInArrow(_placed_bases(least_score, trim), "fragment string, chr string, pos long, b string, s int")
-    single = bases.groupBy("chr", "pos", "fragment").agg(F.min(F.struct((-F.col("s")).alias("s"), "b")).alias("m"))
-    return single.groupBy("chr", "pos").agg(*[F.count_if(F.col("m.b") == x).alias(x.lower()) for x in "ACGT"])
-
-
-def _placed_bases(least_score: int, trim: int):
-    """Every counting base with its place and score, cut from whole batches."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = reads.select("fragment", "chr", "pos", "seq", "qual").filter("seq is not null and qual is not null and pos is not null")
+    # whole reads are shuffled and not their bases, and counts leave each task added up
+    partial = rows.repartition("fragment").sortWithinPartitions("fragment").mapInArrow(_counted_bases(least_score, trim), "chr string, pos long, a long, c long, g long, t long")
+    return partial.groupBy("chr", "pos").agg(*[F.sum(x).alias(x) for x in "acgt"])
+
+
+def _counted_bases(least_score: int, trim: int):
+    """Counts by place of reads that come sorted by fragment."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch | None:
+        fragment = t.column(0).combine_chunks().dictionary_encode()
+        chrom = t.column(1).combine_chunks().dictionary_encode()
+        f = np.asarray(fragment.indices.fill_null(-1)).astype(np.int64)
+        ch = np.asarray(chrom.indices.fill_null(len(chrom.dictionary))).astype(np.int64)
+        start = t.column(2).to_numpy()
+        (seq, at, _), (qual, qat, _) = letters(t.column(3).combine_chunks(), upper=True), letters(t.column(4).combine_chunks())
+        n = np.maximum(np.minimum(np.diff(at), np.diff(qat)) - 2 * trim, 0)
+        row = np.repeat(np.arange(len(n)), n)
+        i = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) + trim
+        b, s = seq[at[row] + i], qual[qat[row] + i].astype(np.int64) - 33
+        keep = (s >= least_score) & np.isin(b, np.frombuffer(b"ACGT", np.uint8))
+        row, i, b, s = row[keep], i[keep], b[keep], s[keep]
+        if not len(row):
+            return None
+        pos = start[row] + i
+        low, span = int(pos.min()), int(pos.max() - pos.min()) + 1
+        place = ch[row] * span + pos - low
+        if (np.bincount(f[f >= 0]) > 1).any() or (f < 0).any():  # of one fragment's bases at a place the best counts
+            order = np.lexsort((b, -s, place, f[row]))
+            place, b, fr = place[order], b[order], f[row][order]
+            first = np.concatenate([[True], (place[1:] != place[:-1]) | (fr[1:] != fr[:-1])])
+            place, b = place[first], b[first]
+        digit = np.zeros(256, np.int64)
+        digit[list(b"ACGT")] = range(4)
+        code, count = np.unique(place * 4 + digit[b], return_counts=True)
+        places, where = np.unique(code >> 2, return_inverse=True)
+        out = np.zeros((len(places), 4), np.int64)
+        out[where, code & 3] = count
+        names = pa.array([*chrom.dictionary.to_pylist(), None], pa.string()).take(pa.array(places // span))
+        return pa.RecordBatch.from_arrays([names, pa.array(places % span + low), *[pa.array(out[:, j]) for j in range(4)]], names=["chr", "pos", "a", "c", "g", "t"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        size = 0
         for batch in batches:
-            (seq, at, _), (qual, qat, _) = letters(batch.column(3), upper=True), letters(batch.column(4))
-            n = np.maximum(np.minimum(np.diff(at), np.diff(qat)) - 2 * trim, 0)
-            start = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi in row_blocks(np.concatenate([[0], np.cumsum(n)]), 500_000):
-                row = np.repeat(np.arange(lo, hi), n[lo:hi])
-                i = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n[lo:hi])[:-1]]), n[lo:hi]) + trim
-                b, s = seq[at[row] + i], qual[qat[row] + i].astype(np.int64) - 33
-                keep = (s >= least_score) & np.isin(b, np.frombuffer(b"ACGT", np.uint8))
-                row, i, b, s = row[keep], i[keep], b[keep].astype(np.uint8), s[keep]
-                base = pa.StringArray.from_buffers(len(b), pa.py_buffer(np.arange(len(b) + 1, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(b)))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start[row] + i), base, pa.array(s.astype(np.int32))], names=["fragment", "chr", "pos", "b", "s"])
-
-    return place
+            for at in range(0, batch.num_rows, 500):
+                t = pa.Table.from_batches([batch.slice(at, 500)])
+                held = t if held is None else pa.concat_tables([held, t])
+                size += sum(len(x) for x in t.column(3).to_pylist())
+                if size < 1_000_000:
+                    continue
+                # the last fragment may go on in the next rows
+                names = held.column(0).to_pylist()
+                whole = next((i for i in range(len(names) - 1, 0, -1) if names[i] != names[i - 1]), 0)
+                if whole:
+                    out = solve(held.slice(0, whole))
+                    if out is not None:
+                        yield out
+                    held, size = held.slice(whole), 0
+        if held is not None and held.num_rows:
+            out = solve(held)
+            if out is not None:
+                yield out
+
+    return count
 
 
 def with_background(counts: DataFrame, width: int = 5) -> DataFrame:

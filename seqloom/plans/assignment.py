@@ -72,7 +72,9 @@ def _assigned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _counts(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return asg.target_counts(_assigned(spark, sf_dir, name))
+        kind, o = VARIANTS[name]
+        features = gene_features(spark, sf_dir) if kind == "genes" else exon_features(spark, sf_dir)
+        return asg.count_targets(fragments(spark, sf_dir, o.paired), features, o)
 
     return query
 
