@@ -55,7 +55,8 @@ def last_unit(text: str) -> tuple[str, str]:
     line = tail.rsplit("\n", 1)[-1]
     phrase = re.split(r"[,;:]", tail)[-1].split()
     last = re.split(r"[\s,;:]+", tail)[-1].lower()
-    if line.upper() == line and any(c.isalpha() for c in line):
+    cased = [c for c in line if c.isalpha()]
+    if cased and sum(c.isupper() for c in cased) >= 0.8 * len(cased) > 0 and line.split()[-1][:1].isupper():
         return "open", ("^!" if "!" in line else "^") + last
     return "open", " ".join(phrase[-2:]).lower() if len(phrase) > 1 else "," + last
 
@@ -113,8 +114,11 @@ def whole_units(docs: DataFrame, text: str, ends: DataFrame, often: float = 0.00
     total = ends.count()
     one = F.substring("unit", 1, 1).isin("^", ",")
     ended = ends.filter("mark = 'open'").groupBy("unit").agg(F.count(F.lit(1)).alias("n_end"))
+    # single words of one or two letters are rests of words
+    ended = ended.filter(~one | (F.length(F.regexp_replace("unit", "[\\^!,]", "")) > 2))
     ended = materialize(ended.filter(F.col("n_end") >= F.when(one, max(2, int(often / 4 * total))).otherwise(max(floor, int(often * total)))))
-    pairs = {r.unit for r in ended.filter(~one).select("unit").collect()}
+    known = {r.unit for r in ended.select("unit").collect()}
+    pairs, singles = {u for u in known if u[0] not in "^,"}, {u[1:] for u in known if u[0] == ","}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[str, int] = {}
@@ -124,10 +128,13 @@ def whole_units(docs: DataFrame, text: str, ends: DataFrame, often: float = 0.00
                 for pair in map(" ".join, zip(words, words[1:])):
                     if pair in pairs:
                         count[pair] = count.get(pair, 0) + 1
+                for word in re.findall(r",\s+(\w+)", t.lower()):
+                    if word in singles:
+                        count["," + word] = count.get("," + word, 0) + 1
         yield pa.RecordBatch.from_pydict({"unit": list(count), "n": list(count.values())}, schema=pa.schema([("unit", pa.string()), ("n", pa.int64())]))
 
     everywhere = docs.select(text).filter(F.col(text).isNotNull()).mapInArrow(tally, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n_all"))
-    return ended.join(everywhere, "unit", "left").filter(one | (F.col("n_end") >= F.lit(carried) * F.coalesce("n_all", F.lit(0))))
+    return ended.join(everywhere, "unit", "left").filter(F.col("unit").startswith("^") | (F.col("n_end") >= F.lit(carried) * F.coalesce("n_all", F.lit(0))))
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -156,7 +163,7 @@ def like_whole(unit: str, whole: dict[str, list[str]]) -> bool:
         return False
     for key in {bare[:3], "$" + bare[-3:]}:
         for w in whole.get(key, ()):
-            if w != bare and w.startswith(bare):
+            if (w != bare and w.startswith(bare)) or re.match(r"[\^!,]*", w)[0] != re.match(r"[\^!,]*", bare)[0]:
                 continue
             if _distance(bare, w, most) <= most:
                 return True
