@@ -110,10 +110,11 @@ def with_background(counts: DataFrame, width: int = 5) -> DataFrame:
     return counts.withColumn("bg_matches", F.sum("matches").over(w) - F.col("matches")).withColumn("bg_mismatches", F.sum("mismatches").over(w) - F.col("mismatches"))
 
 
-def call_variants(counts: DataFrame, reference: DataFrame, width: int = 5, upper: float = 5e-3, depth_unit: float = 50 / 12, least_total: int = 1, least_alternatives: int = 1, least_share: float = 0.0) -> DataFrame:
+def call_variants(counts: DataFrame, reference: DataFrame, known: DataFrame | None = None, width: int = 5, upper: float = 5e-3, depth_unit: float = 50 / 12, least_total: int = 1, least_alternatives: int = 1, least_share: float = 0.0) -> DataFrame:
     """Positions whose mismatches exceed those around them.
 
-    counts: chr, pos, a, c, g, t; reference: chr, pos, ref. The cutoff falls
+    counts: chr, pos, a, c, g, t; reference: chr, pos, ref; known: chr, pos of
+    known variants, which don't count as background. The cutoff falls
     with the depth around a position; at least 80 % of the bases around must
     match. Result: chr, pos, ref, alts (by count, then letter), total,
     mismatches, bg_total, bg_mismatches, p, quality.
@@ -122,7 +123,14 @@ def call_variants(counts: DataFrame, reference: DataFrame, width: int = 5, upper
     total = F.col("a") + F.col("c") + F.col("g") + F.col("t")
     match = F.when(F.col("ref") == "A", F.col("a")).when(F.col("ref") == "C", F.col("c")).when(F.col("ref") == "G", F.col("g")).when(F.col("ref") == "T", F.col("t"))
     own = joined.withColumn("total", total).withColumn("matches", match).filter("matches is not null").withColumn("mismatches", F.col("total") - F.col("matches"))
-    bg = with_background(own, width)
+    if known is not None:  # known places are no background of others
+        marks = known.select("chr", "pos").distinct().withColumn("known", F.lit(True))
+        flagged = own.join(marks, ["chr", "pos"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        quiet = flagged.withColumn("m", F.when(F.col("known"), 0).otherwise(F.col("matches"))).withColumn("x", F.when(F.col("known"), 0).otherwise(F.col("mismatches")))
+        w = W.partitionBy("chr").orderBy("pos").rangeBetween(-width, width)
+        bg = quiet.withColumn("bg_matches", F.sum("m").over(w) - F.col("m")).withColumn("bg_mismatches", F.sum("x").over(w) - F.col("x")).drop("m", "x", "known")
+    else:
+        bg = with_background(own, width)
     some = bg.filter((F.col("mismatches") > 0) & (F.col("bg_matches") * 20 > (F.col("bg_matches") + F.col("bg_mismatches")) * 16))
     rich = F.col("mismatches") * F.col("bg_matches") >= F.col("bg_mismatches") * F.col("matches")
     p = F.when(rich, fisher("mismatches", "bg_mismatches", "matches", "bg_matches")).otherwise(1.1)

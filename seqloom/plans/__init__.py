@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("general", "assignment", "genome", "sequence")
+FAMILIES = ("general", "assignment", "genome", "sequence", "aligning")
 
 
 def _merged(what: str) -> dict:

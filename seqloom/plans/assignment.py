@@ -122,7 +122,7 @@ def p_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).select("flag", "n", fl.fragment_strand("flag").alias("strand"), fl.mate_flag("flag").alias("mate_flag"))
 
 
-def p12_chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn12_chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).groupBy("rname", "chr").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -158,7 +158,7 @@ def a11_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "alignments").groupBy(fragment_name("qname").alias("fragment")).agg(F.count(F.lit(1)).alias("n"), F.max(~fl.has("flag", fl.UNMAPPED)).alias("mapped"))
 
 
-OTHER = (k5_read_status, k1_gene_table, a4_gene_lengths, p1c_sections, p_cigar_measures, p_flags, p12_chromosomes, jc_pairs, u1_repaired, u4_mapped_share, u13_mapped_bases, a11_names)
+OTHER = (k5_read_status, k1_gene_table, a4_gene_lengths, p1c_sections, p_cigar_measures, p_flags, fn12_chromosomes, jc_pairs, u1_repaired, u4_mapped_share, u13_mapped_bases, a11_names)
 
 
 def queries() -> dict:
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         + """, t as (select row_id, coalesce(sum(n) filter (op in ('M', '=', 'X')), 0) covered, coalesce(sum(n) filter (op in ('M', '=', 'X', 'D', 'N')), 0) span, coalesce(sum(n) filter (op = 'S' and i = 1), 0) clip, string_agg(n || op, '' order by i desc) reversed from ops group by row_id)
 select a.row_id, cast(coalesce(covered, 0) as bigint) covered, cast(coalesce(span, 0) as bigint) span, cast(coalesce(clip, 0) as bigint) clip, contains(a.cigar, 'N') split, coalesce(reversed, '') reversed, a.pos left_end from al a left join t using (row_id)""",
         "p_flags": f"select flag, count(*) n, (((flag & 16) <> 0) <> ((flag & 128) <> 0))::int strand, {mate} mate_flag from alignments group by flag",
-        "p12_chromosomes": _READS + "select rname, chr, count(*) n from al group by rname, chr",
+        "fn12_chromosomes": _READS + "select rname, chr, count(*) n from al group by rname, chr",
         "jc_pairs": _PAIRS + "select * from p",
         "u1_repaired": _PAIRS
         + f", f as (select a.flag f1, b.flag f2, a.row_id r1, b.row_id r2 from p left join alignments a on a.row_id = first_row left join alignments b on b.row_id = second_row) select coalesce(f1, case when f2 & 1 <> 0 then {mate.replace('flag', 'f2')} end) flag1, coalesce(f2, case when f1 & 1 <> 0 then {mate.replace('flag', 'f1')} end) flag2, r1 is null dummy1, r2 is null dummy2, count(*) n from f group by all",

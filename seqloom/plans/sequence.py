@@ -10,41 +10,41 @@ from seqloom.operators import cells, kmers, pileup, sampling
 from seqloom.plans.general import table
 
 
-def p15_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn15_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "index_blocks").select("block_id", F.md5(sq.reverse_complement("base_values")).alias("digest"), F.sha2("base_values", 256).alias("sha"))
 
 
-def p16_kmer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn16_kmer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.substring("read_text", 1, 16)
     return table(spark, sf_dir, "long_reads").select("read_id", sq.kmer_code(head).alias("code"))
 
 
-def p18_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn18_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum and extremes of the scores of each read."""
     s = sq.scores("qual_text")
     return table(spark, sf_dir, "long_reads").filter("length(qual_text) > 0").select("read_id", F.aggregate(s, F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.array_min(s).alias("least"), F.array_max(s).alias("greatest"))
 
 
-def p19_close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn19_close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters in which transcript ids of one gene differ from the least of them."""
     t = table(spark, sf_dir, "tx_exons").select("gene_name", "transcript_id").distinct()
     first = t.groupBy("gene_name").agg(F.min("transcript_id").alias("first_id"))
     return t.join(first, "gene_name").select("gene_name", "transcript_id", sq.hamming("transcript_id", "first_id").alias("distance"))
 
 
-def p20_splice_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn20_splice_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "index_blocks").filter("length(base_values) >= 120")
     donor, acceptor = F.substring("base_values", 11, 2), F.substring("base_values", 101, 2)
     return b.select("block_id", sq.splice_class(donor, acceptor).alias("splice_class"), sq.junction_strand(donor, acceptor).alias("strand"))
 
 
-def p23_mapping_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn23_mapping_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "alignments")
     n, mm = F.col("mapq") % 3 + 1, F.col("flag") % 5
     return a.groupBy(sq.mapping_quality(n, mm, F.col("mapq") == 0).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def p29_gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn29_gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "index_blocks").filter("base_values is not null")
     return b.select("block_id", sq.gc_bases("base_values").alias("gc"), sq.called_bases("base_values").alias("called"), F.length(sq.trimmed("base_values", 5, 7)).alias("trimmed"))
 
@@ -177,7 +177,7 @@ def k10_planted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    p15_reverse_complement, p16_kmer_codes, p18_scores, p19_close_names, p20_splice_classes, p23_mapping_quality, p29_gc_content, a15_kmer_counts, g2_index, g3_subreads, a16_votes, w3_best_votes, u8_full_scan,
+    fn15_reverse_complement, fn16_kmer_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_subreads, a16_votes, w3_best_votes, u8_full_scan,
     jh_barcodes, ji_samples, a17_merged_tags, a18_gene_conflicts, a19_cell_gene_counts, a20_ambient, w5_cell_ranks, w6_rescue, k11_matrix, w7_systematic_sample, u10_allocated, u14_fastq, k10_planted_variants,
 )
 
@@ -212,13 +212,13 @@ v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "of
     back = q[::-1].translate(str.maketrans("ACGT", "TGCA"))
     match = lambda p: " + ".join(f"(substr(w, {i + 1}, 1) = '{c}')::int" for i, c in enumerate(p))
     return {
-        "p15_reverse_complement": f"select block_id, md5({_rc('base_values')}) digest, sha256(base_values) sha from index_blocks",
-        "p16_kmer_codes": "select read_id, case when regexp_matches(upper(substr(read_text, 1, 16)), '^[ACGT]{16}$') then cast(list_sum(list_transform(range(1, 17), lambda i: (instr('AGCT', upper(substr(read_text, i, 1))) - 1) * (4 ** (16 - i)))) as bigint) end code from long_reads",
-        "p18_scores": "select read_id, cast(sum(s) as bigint) total, min(s) least, max(s) greatest from (select read_id, unicode(substr(qual_text, unnest(range(1, length(qual_text) + 1)), 1)) - 33 s from long_reads where length(qual_text) > 0) group by read_id",
-        "p19_close_names": f"with t as (select distinct gene_name, transcript_id from tx_exons where gene_name is not null), f as (select gene_name, min(transcript_id) m from t group by gene_name) select gene_name, transcript_id, {ham('transcript_id', 'm')} distance from t join f using (gene_name)",
-        "p20_splice_classes": f"select block_id, {splice} splice_class, case {splice} when 1 then '+' when 2 then '-' else 'NA' end strand from (select block_id, upper(substr(base_values, 11, 2)) d, upper(substr(base_values, 101, 2)) a from index_blocks where length(base_values) >= 120)",
-        "p23_mapping_quality": "select case when mapq = 0 then 0 else 40 // (mapq % 3 + 1 + flag % 5) end quality, count(*) n from alignments group by 1",
-        "p29_gc_content": "select block_id, length(regexp_replace(base_values, '[^GCgc]', '', 'g')) gc, length(regexp_replace(base_values, '[^ACGTacgt]', '', 'g')) called, greatest(0, length(base_values) - 12) trimmed from index_blocks where base_values is not null",
+        "fn15_reverse_complement": f"select block_id, md5({_rc('base_values')}) digest, sha256(base_values) sha from index_blocks",
+        "fn16_kmer_codes": "select read_id, case when regexp_matches(upper(substr(read_text, 1, 16)), '^[ACGT]{16}$') then cast(list_sum(list_transform(range(1, 17), lambda i: (instr('AGCT', upper(substr(read_text, i, 1))) - 1) * (4 ** (16 - i)))) as bigint) end code from long_reads",
+        "fn18_scores": "select read_id, cast(sum(s) as bigint) total, min(s) least, max(s) greatest from (select read_id, unicode(substr(qual_text, unnest(range(1, length(qual_text) + 1)), 1)) - 33 s from long_reads where length(qual_text) > 0) group by read_id",
+        "fn19_close_names": f"with t as (select distinct gene_name, transcript_id from tx_exons where gene_name is not null), f as (select gene_name, min(transcript_id) m from t group by gene_name) select gene_name, transcript_id, {ham('transcript_id', 'm')} distance from t join f using (gene_name)",
+        "fn20_splice_classes": f"select block_id, {splice} splice_class, case {splice} when 1 then '+' when 2 then '-' else 'NA' end strand from (select block_id, upper(substr(base_values, 11, 2)) d, upper(substr(base_values, 101, 2)) a from index_blocks where length(base_values) >= 120)",
+        "fn23_mapping_quality": "select case when mapq = 0 then 0 else 40 // (mapq % 3 + 1 + flag % 5) end quality, count(*) n from alignments group by 1",
+        "fn29_gc_content": "select block_id, length(regexp_replace(base_values, '[^GCgc]', '', 'g')) gc, length(regexp_replace(base_values, '[^ACGTacgt]', '', 'g')) called, greatest(0, length(base_values) - 12) trimmed from index_blocks where base_values is not null",
         "a15_kmer_counts": f"select times, count(*) kmers from (select kmer, count(*) times from ({blocks.format(step=3)}) group by kmer) group by times",
         "g2_index": f"with p as (select kmer, chro_name contig, start_base_offset + o pos from ({blocks.format(step=3)})) select contig, count(*) n, cast(sum(pos) as bigint) places from p where kmer in (select kmer from p group by kmer having count(*) <= 2) group by contig",
         "g3_subreads": f"with {seeds} select \"read\", strand, \"offset\", kmer letters from seeds",
