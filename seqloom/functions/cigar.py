@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seqloom.functions.flags import FIRST, REVERSE, has, tag
+
 _OP = r"(\d+)([MIDNSHP=X])"
 SECTION = "struct<start:bigint,stop:bigint,read_start:bigint,before:string>"
 
@@ -76,3 +78,18 @@ def left_end(right: Column | str, cigar: Column | str) -> Column:
     """First covered base of an alignment that ends at ``right``."""
     right = F.col(right) if isinstance(right, str) else right
     return right - reference_span(cigar) + 1
+
+
+def chimeric_sections(tags: Column | str, flag: Column | str) -> Column:
+    """Sections of a read's other part, given in tags: CC its chromosome, CP
+    its place, CG its operations, CT its strand. array<struct<chr, sections>>,
+    empty unless all four are there.
+
+    Where CT differs from the read's own strand, CP is the right end.
+    """
+    cc, cp, cg, ct = (tag(tags, x) for x in ("CC", "CP", "CG", "CT"))
+    own_minus = (has(flag, FIRST) == has(flag, REVERSE)) & has(flag, FIRST) | (~has(flag, FIRST) & ~has(flag, REVERSE))
+    place = F.try_to_number(cp, F.lit("999999999999")).cast("bigint")
+    start = F.when((ct == "-") == own_minus, place).otherwise(place - reference_span(cg) + 1)
+    there = cc.isNotNull() & place.isNotNull() & cg.isNotNull() & ct.isNotNull()
+    return F.when(there, F.array(F.struct(cc.alias("chr"), sections(start, cg).alias("sections")))).otherwise(F.array().cast(f"array<struct<chr:string,sections:array<{SECTION}>>>"))

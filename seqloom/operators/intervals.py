@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.functions.sequence import called_bases, gc_bases
+
 BIN = 1 << 14
 
 
@@ -65,6 +67,24 @@ def coverage_runs(df: DataFrame, keys: list[str], start: str, stop: str) -> Data
     return runs.groupBy(*keys, "run", "depth").agg(F.min("seg_start").alias("run_start"), F.max("seg_stop").alias("run_stop")).drop("run")
 
 
+def binned_coverage(runs: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Covered bases (depth times length) in bins of ``size`` positions, from
+    runs of equal depth: (keys, bin, bases). A run is spread over the bins it
+    touches and not over its positions."""
+    at = runs.withColumn("bin", F.explode(F.sequence(F.floor(F.col("run_start") / size), F.floor(F.col("run_stop") / size))))
+    part = F.least(F.col("run_stop"), F.col("bin") * size + size - 1) - F.greatest(F.col("run_start"), F.col("bin") * size) + 1
+    return at.groupBy(*keys, "bin").agg(F.sum(part * F.col("depth")).alias("bases"))
+
+
+def span_gc(spans: DataFrame, blocks: DataFrame, on: list[str], start: str, stop: str) -> DataFrame:
+    """gc and called bases of the parts of spans that lie in blocks; blocks:
+    ``on``, b_start, b_stop, letters. One row a span and block that overlap."""
+    met = overlap_join(spans, blocks, on, (start, stop), ("b_start", "b_stop"))
+    lo, hi = F.greatest(F.col(start), F.col("b_start")), F.least(F.col(stop), F.col("b_stop"))
+    part = F.substring(F.col("letters"), (lo - F.col("b_start") + 1).cast("int"), (hi - lo + 1).cast("int"))
+    return met.withColumn("_part", part).withColumn("gc", gc_bases("_part")).withColumn("called", called_bases("_part")).drop("_part", "letters")
+
+
 def gap_bins(gaps: DataFrame, start: str, stop: str, size: int = 2000) -> DataFrame:
     """Gaps cut into bins of ``size`` from their start (the last may be short)."""
     n = F.floor((F.col(stop) - F.col(start)) / size)

@@ -13,6 +13,7 @@ from seqloom.operators import transcripts as tr
 from seqloom.operators.pairing import fragment_name
 from seqloom.plans.assignment import _READS, exon_features, reads
 from seqloom.plans.general import table
+from seqloom.session import materialize
 
 
 def _junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k4_junction_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Junctions with their genes, in natural chromosome order."""
-    j = jn.primary_genes(a7_junction_counts(spark, sf_dir), _spans(spark, sf_dir))
+    # the counts are used four times and are small beside the alignments
+    j = jn.primary_genes(materialize(a7_junction_counts(spark, sf_dir)), _spans(spark, sf_dir))
     return j.withColumn("chr_order", jn.natural_order("chr"))
 
 
@@ -48,7 +50,7 @@ def k7_junction_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jm_thinned_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coarse = a7_junction_counts(spark, sf_dir)
+    coarse = materialize(a7_junction_counts(spark, sf_dir))
     return jn.thin_neighbours(coarse, 2000, 2000)
 
 
@@ -58,8 +60,9 @@ def g8_known_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a22_anti_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = materialize(a7_junction_counts(spark, sf_dir))
     cover = reads(spark, sf_dir).filter("chr is not null and size(sections) > 0").select(F.col("row_id").alias("read"), "chr", F.element_at("sections", 1).start.alias("c_start"), F.element_at("sections", -1).stop.alias("c_stop"))
-    return jn.anti_support(cover, a7_junction_counts(spark, sf_dir))
+    return jn.anti_support(cover, counts)
 
 
 def jg_sites_in_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +131,39 @@ def u19_promoters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.promoter_spans(g, "start_pos", "end_pos", "strand", 3000, 2000).select("gene_name", "promoter_start", "promoter_stop")
 
 
+def k13_coverage_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reads(spark, sf_dir).filter("chr is not null").select("chr", F.explode("sections").alias("s")).select("chr", "s.start", "s.stop")
+    return iv.binned_coverage(iv.coverage_runs(s, ["chr"], "start", "stop"), ["chr"], 100_000)
+
+
+def u9_exon_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GC content of the covered stretches of genes that lie within a block."""
+    b = table(spark, sf_dir, "index_blocks").filter("base_values is not null").select(F.col("chro_name").alias("chr"), "block_id", F.col("start_base_offset").alias("b_start"), (F.col("start_base_offset") + F.length("base_values") - 1).alias("b_stop"), F.col("base_values").alias("letters"))
+    g = table(spark, sf_dir, "genes").select("gene_name", F.col("chro_name").alias("chr"), "start_pos", "end_pos")
+    return iv.span_gc(g, b, ["chr"], "start_pos", "end_pos").select("gene_name", "block_id", "gc", "called")
+
+
+def g1_contig_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by name: repeated, empty or with letters that aren't bases."""
+    b = table(spark, sf_dir, "index_blocks")
+    odd = F.length(F.regexp_replace(F.coalesce("base_values", F.lit("")), "[ACGTNacgtn]", ""))
+    return b.groupBy("chro_name").agg(F.count(F.lit(1)).alias("blocks"), (F.count(F.lit(1)) - F.count_distinct("start_base_offset")).alias("repeated"), F.count_if(F.coalesce(F.length("base_values"), F.lit(0)) == 0).alias("empty"), F.sum(odd).alias("odd_letters"))
+
+
+def o4_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments in the order of place, natural names first."""
+    rows = reads(spark, sf_dir)
+    return rows.select("row_id", "chr", "pos", jn.natural_order("chr").alias("chr_order")).orderBy("chr_order", "chr", "pos", "row_id")
+
+
+def s11_tagged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcode and tag at the head of each read, counted."""
+    r = table(spark, sf_dir, "long_reads").filter("length(read_text) >= 20")
+    return r.groupBy(F.substring("read_text", 1, 8).alias("barcode"), F.substring("read_text", 9, 4).alias("umi")).agg(F.count(F.lit(1)).alias("n"))
+
+
 ALL = (
+    k13_coverage_bins, u9_exon_gc, g1_contig_check, o4_sorted, s11_tagged_reads,
     a7_junction_counts, a8_site_counts, k4_junction_genes, k7_junction_bed, jm_thinned_junctions, g8_known_junctions, a22_anti_support, jg_sites_in_genes, ja_overlaps, a10_uncrowded,
     a13_coverage, a12_pileup, w1_background, jk_shared_variants, u2_flattened, u3_chopped, u6_unique_bases, u9_gap_bins, u19_promoters,
 )
@@ -200,6 +235,15 @@ select chr, count(*) n, cast(sum(row_id) as bigint) ids from k where chr is null
         + _cut("select * from sx", "chr")
         + """, c2 as (select *, case when lag(depth) over (partition by chr order by a) = depth then 0 else 1 end f from cut)
 select chr, cast(depth as bigint) depth, min(a) run_start, max(z) run_stop from (select *, sum(f) over (partition by chr order by a rows unbounded preceding) g from c2) where depth > 0 group by chr, depth, g""",
+        "k13_coverage_bins": _READS
+        + """, sx as (select chr, a, z from secs join al using (row_id) where chr is not null), b as (select chr, a, z, unnest(range(a // 100000, z // 100000 + 1)) bin from sx)
+select chr, bin, cast(sum(least(z, bin * 100000 + 99999) - greatest(a, bin * 100000) + 1) as bigint) bases from b group by chr, bin""",
+        "u9_exon_gc": """with x as (select gene_name, block_id, substr(base_values, greatest(start_pos, start_base_offset) - start_base_offset + 1, least(end_pos, start_base_offset + length(base_values) - 1) - greatest(start_pos, start_base_offset) + 1) s
+  from genes g join index_blocks b on g.chro_name = b.chro_name and start_pos <= start_base_offset + length(base_values) - 1 and end_pos >= start_base_offset where length(base_values) > 0)
+select gene_name, block_id, length(regexp_replace(s, '[^GCgc]', '', 'g')) gc, length(regexp_replace(s, '[^ACGTacgt]', '', 'g')) called from x""",
+        "g1_contig_check": """select chro_name, count(*) blocks, count(*) - count(distinct start_base_offset) repeated, count(*) filter (coalesce(length(base_values), 0) = 0) empty, cast(sum(length(regexp_replace(coalesce(base_values, ''), '[ACGTNacgtn]', '', 'g'))) as bigint) odd_letters from index_blocks group by chro_name""",
+        "o4_sorted": _READS + f""" select row_id, chr, pos, {order.replace("b ", "upper(regexp_replace(chr, '^chr', '')) ").replace("(b,", "(upper(regexp_replace(chr, '^chr', '')),")} chr_order from al""",
+        "s11_tagged_reads": "select substr(read_text, 1, 8) barcode, substr(read_text, 9, 4) umi, count(*) n from long_reads where length(read_text) >= 20 group by all",
         "a12_pileup": _PILE + "select * from p",
         "w1_background": _PILE
         + """, m as (select chr, pos, greatest(a, c, g, t) matches, a + c + g + t - greatest(a, c, g, t) mismatches from p)

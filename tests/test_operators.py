@@ -234,3 +234,12 @@ def test_chains_and_splits(spark):
     pairs = spark.createDataFrame([(1, "c", 100, 500, "ACGTACG" + "CATCCATG"[0:7], left + "TT", right)], "read int, contig string, left_diagonal long, right_diagonal long, s string, left_ref string, right_ref string")
     r = alignment.split_points(pairs).first()
     assert r.left < r.right and r.matches >= 7
+
+
+def test_chimeric_sections(spark):
+    from seqloom.functions.cigar import chimeric_sections
+
+    tags = "NH:i:1\tCC:Z:chr9\tCP:i:100\tCG:Z:10M5N10M\tCT:Z:"
+    df = spark.createDataFrame([(1, tags + "-", 0x40 | 0x10), (2, tags + "+", 0x40 | 0x10), (3, "NH:i:1", 0), (4, None, 0)], "i int, tags string, flag int")
+    got = {r.i: [(x.chr, [(s.start, s.stop) for s in x.sections]) for x in r.c] for r in df.select("i", chimeric_sections("tags", "flag").alias("c")).collect()}
+    assert got == {1: [("chr9", [(100, 109), (115, 124)])], 2: [("chr9", [(76, 85), (91, 100)])], 3: [], 4: []}
