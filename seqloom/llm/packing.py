@@ -95,13 +95,15 @@ def best_plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, close: float
     return best
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, classes: int = 160, eps: float = 0.25, favour: float = 0.1) -> Plan:
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, classes: int | None = None, eps: float = 0.25, favour: float = 0.1) -> Plan:
     """Plan of (sizes, times of each, number of containers) that places every item.
 
     rounds: steps of multiplicative weights. classes: at most so many lengths
     are priced in one knapsack (the lengths with the most weight; others are
-    placed in the rounding), so that a step takes about classes * capacity.
+    placed in the rounding), so that a step takes about classes * capacity;
+    by default 24 to 160, fewer for greater capacities.
     """
+    classes = classes or max(24, min(160, 131_072 // capacity))
     left = counts.astype(np.int64).copy()
     solution: dict[tuple, float] = {}
     weights = np.log(np.maximum(sizes / capacity, 1e-9))
