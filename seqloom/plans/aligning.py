@@ -97,7 +97,7 @@ def oracle_sql() -> dict[str, str]:
     frags = _assign_sql("a1_fragment_counts").split(",\njud as")[0].rstrip().rstrip(",")
     return {
         "g14_dense_windows": votes
-        + ', t as (select *, sum(votes) over (partition by "read", strand, contig order by diagonal range between current row and 2000 following) wv from v), r as (select *, row_number() over (partition by "read" order by wv desc, contig, strand, diagonal) rank from t) select "read", strand, contig, diagonal w_start, cast(wv as bigint) votes, rank from r where rank <= 3',
+        + ', t as (select *, sum(votes) over (partition by "read", strand, contig order by diagonal range between current row and 2000 following) wv from v), r as (select *, cast(row_number() over (partition by "read" order by wv desc, contig, strand, diagonal) as int) rank from t) select "read", strand, contig, diagonal w_start, cast(wv as bigint) votes, rank from r where rank <= 3',
         "u18_indels": _READS
         + """, nx as (select chr, lag(z) over w pos, bef kind, case when bef = 'I' then rs - lag(rs) over w - (lag(z) over w - lag(a) over w + 1) else a - lag(z) over w - 1 end length from secs join al using (row_id) where chr is not null window w as (partition by row_id order by no))
 select chr, pos, kind, length, count(*) support, round(case when count(*) < 30 then pow(0.5, 30 - count(*)) else 1 end * pow(2, 30), 3) quality from nx where pos is not null and kind in ('I', 'D') and length <= 100 group by all""",

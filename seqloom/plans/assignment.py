@@ -89,7 +89,7 @@ def _summary(name: str):
 def k5_read_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per read: status, number of targets and the targets."""
     a = _assigned(spark, sf_dir, "a1_exon_counts")
-    return a.select("frag", "status", F.coalesce(F.size("targets"), F.lit(0)).alias("n_targets"), F.coalesce(F.array_join("targets", ","), F.lit("NA")).alias("target_list"))
+    return a.select("frag", "status", F.coalesce(F.size("targets"), F.lit(0)).cast("long").alias("n_targets"), F.coalesce(F.array_join("targets", ","), F.lit("NA")).alias("target_list"))
 
 
 def k1_gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def a4_gene_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1c_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "alignments").select("row_id", F.posexplode(sections("pos", "cigar")))
-    return s.select("row_id", F.col("pos").alias("section_no"), "col.start", "col.stop", "col.read_start", "col.before")
+    return s.select("row_id", F.col("pos").cast("long").alias("section_no"), "col.start", "col.stop", "col.read_start", "col.before")
 
 
 def p_cigar_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def u9_exon_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GC content of the covered stretches of genes that lie within a block."""
     b = table(spark, sf_dir, "index_blocks").filter("base_values is not null").select(F.col("chro_name").alias("chr"), "block_id", F.col("start_base_offset").alias("b_start"), (F.col("start_base_offset") + F.length("base_values") - 1).alias("b_stop"), F.col("base_values").alias("letters"))
     g = table(spark, sf_dir, "genes").select("gene_name", F.col("chro_name").alias("chr"), "start_pos", "end_pos")
-    return iv.span_gc(g, b, ["chr"], "start_pos", "end_pos").select("gene_name", "block_id", "gc", "called")
+    return iv.span_gc(g, b, ["chr"], "start_pos", "end_pos").select("gene_name", "block_id", F.col("gc").cast("long").alias("gc"), F.col("called").cast("long").alias("called"))
 
 
 def g1_contig_check(spark: SparkSession, sf_dir: str) -> DataFrame:

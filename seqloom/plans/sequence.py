@@ -46,7 +46,7 @@ def fn23_mapping_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fn29_gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "index_blocks").filter("base_values is not null")
-    return b.select("block_id", sq.gc_bases("base_values").alias("gc"), sq.called_bases("base_values").alias("called"), F.length(sq.trimmed("base_values", 5, 7)).alias("trimmed"))
+    return b.select("block_id", sq.gc_bases("base_values").cast("long").alias("gc"), sq.called_bases("base_values").cast("long").alias("called"), F.length(sq.trimmed("base_values", 5, 7)).cast("long").alias("trimmed"))
 
 
 def a15_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ seeds as (select * from (select distinct "read", strand, o "offset", substr(s, o
 v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "offset") votes, min("offset") c_start, max("offset") c_stop from seeds join ok using (kmer) group by all) """
     mol = f"select sample_id cell, gene_name gene, {_l4('pos % 65536', 6, 7)} umi, count(*) reads from alignments where gene_name is not null group by all"
     solved = f"with m as ({mol}), r as (select *, row_number() over w r, lead(reads) over w s from m window w as (partition by cell, umi order by reads desc, gene)), k as (select cell, gene, umi, reads from r where r = 1 and (s is null or s < reads)) "
-    cellsql = "c as (select concat_ws('/', run_id, log_id % 50) cell, coalesce(sample_id, 'none') gene, count(*) n from read_log where run_id is not null group by all), rk as (select cell, cast(sum(n) as bigint) total, row_number() over (order by sum(n) desc, cell) rank from c group by cell)"
+    cellsql = "c as (select concat_ws('/', run_id, log_id % 50) cell, coalesce(sample_id, 'none') gene, count(*) n from read_log where run_id is not null group by all), rk as (select cell, cast(sum(n) as bigint) total, cast(row_number() over (order by sum(n) desc, cell) as int) rank from c group by cell)"
     ham = lambda a, b: f"(case when length({a}) = length({b}) then list_sum(list_transform(range(1, length({a}) + 1), lambda i: (substr({a}, i, 1) <> substr({b}, i, 1))::int)) end)"
     names = {("GT", "AG"): 1, ("CT", "AC"): 2, ("GC", "AG"): 3, ("CT", "GC"): 4, ("AT", "AC"): 5, ("GT", "AT"): 6}
     splice = "case " + " ".join(f"when d = '{d}' and a = '{a}' then {n}" for (d, a), n in names.items()) + " else 0 end"
@@ -215,7 +215,7 @@ v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "of
         "fn15_reverse_complement": f"select block_id, md5({_rc('base_values')}) digest, sha256(base_values) sha from index_blocks",
         "fn16_kmer_codes": "select read_id, case when regexp_matches(upper(substr(read_text, 1, 16)), '^[ACGT]{16}$') then cast(list_sum(list_transform(range(1, 17), lambda i: (instr('AGCT', upper(substr(read_text, i, 1))) - 1) * (4 ** (16 - i)))) as bigint) end code from long_reads",
         "fn18_scores": "select read_id, cast(sum(s) as bigint) total, min(s) least, max(s) greatest from (select read_id, unicode(substr(qual_text, unnest(range(1, length(qual_text) + 1)), 1)) - 33 s from long_reads where length(qual_text) > 0) group by read_id",
-        "fn19_close_names": f"with t as (select distinct gene_name, transcript_id from tx_exons where gene_name is not null), f as (select gene_name, min(transcript_id) m from t group by gene_name) select gene_name, transcript_id, {ham('transcript_id', 'm')} distance from t join f using (gene_name)",
+        "fn19_close_names": f"with t as (select distinct gene_name, transcript_id from tx_exons where gene_name is not null), f as (select gene_name, min(transcript_id) m from t group by gene_name) select gene_name, transcript_id, cast({ham('transcript_id', 'm')} as int) distance from t join f using (gene_name)",
         "fn20_splice_classes": f"select block_id, {splice} splice_class, case {splice} when 1 then '+' when 2 then '-' else 'NA' end strand from (select block_id, upper(substr(base_values, 11, 2)) d, upper(substr(base_values, 101, 2)) a from index_blocks where length(base_values) >= 120)",
         "fn23_mapping_quality": "select case when mapq = 0 then 0 else 40 // (mapq % 3 + 1 + flag % 5) end quality, count(*) n from alignments group by 1",
         "fn29_gc_content": "select block_id, length(regexp_replace(base_values, '[^GCgc]', '', 'g')) gc, length(regexp_replace(base_values, '[^ACGTacgt]', '', 'g')) called, greatest(0, length(base_values) - 12) trimmed from index_blocks where base_values is not null",
@@ -223,7 +223,7 @@ v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "of
         "g2_index": f"with p as (select kmer, chro_name contig, start_base_offset + o pos from ({blocks.format(step=3)})) select contig, count(*) n, cast(sum(pos) as bigint) places from p where kmer in (select kmer from p group by kmer having count(*) <= 2) group by contig",
         "g3_subreads": f"with {seeds} select \"read\", strand, \"offset\", kmer letters from seeds",
         "a16_votes": votes + "select * from v",
-        "w3_best_votes": votes + ', r as (select *, dense_rank() over (partition by "read" order by votes desc) rank from v where votes >= 2) select *, count(*) over (partition by "read", rank) ties from r where rank <= 3',
+        "w3_best_votes": votes + ', r as (select *, cast(dense_rank() over (partition by "read" order by votes desc) as int) rank from v where votes >= 2) select *, count(*) over (partition by "read", rank) ties from r where rank <= 3',
         "u8_full_scan": f"with w as (select block_id contig, p pos, upper(substr(base_values, p, {len(q)})) w from (select *, cast(unnest(range(1, length(base_values) - {len(q) - 2})) as bigint) p from index_blocks where length(base_values) >= {len(q)})) select contig, pos, 0 strand, {match(q)} matches from w where {match(q)} >= 7 union all select contig, pos, 1, {match(back)} from w where {match(back)} >= 7",
         "jh_barcodes": f"""with r as (select log_id, {_l4('log_id % 1021', 8, 37)} code from read_log), k as (select no, {_l4('no', 8, 41)} known from (select distinct length(gene_name) * 131 + start_pos % 997 no from genes)),
 u as (select distinct code from r), e as (select code, code m from u where code in (select known from k)), f as (select code, arg_min(known, (no, known)) m from u, k where code not in (select known from k) and {ham('code', 'known')} = 1 group by code)
@@ -236,7 +236,7 @@ select f.sample, count(*) n from r left join f using (tag, lane) group by f.samp
         "a20_ambient": f"with {cellsql} select gene, cast(sum(n) as bigint) n from c join rk using (cell) where rank > 200 and rank <= 900 group by gene",
         "w5_cell_ranks": f"with {cellsql} select * from rk",
         "w6_rescue": f"with {cellsql} select * from rk where rank > 50 and rank < 1000 and total >= greatest(3.0, 0.01 * (select median(total) from rk where rank <= 50)) and rank <= 20050",
-        "k11_matrix": solved + ", n as (select cell, gene, count(*) n from k group by all) select dense_rank() over (order by gene) gene_no, dense_rank() over (order by cell) cell_no, n from n",
+        "k11_matrix": solved + ", n as (select cell, gene, count(*) n from k group by all) select cast(dense_rank() over (order by gene) as int) gene_no, cast(dense_rank() over (order by cell) as int) cell_no, n from n",
         "u10_allocated": """with e as (select gene_name, (end_pos - start_pos + 1) * 1000000 / (select sum(end_pos - start_pos + 1) from genes) x from genes), f as (select *, floor(x) w, row_number() over (order by round(x - floor(x), 9) desc, gene_name) r from e)
 select gene_name, cast(w + (r <= 1000000 - (select sum(w) from f))::int as bigint) n from f""",
         "u14_fastq": f"select read_id, md5(case when is_reversed = 1 then {_rc('read_text')} else read_text end) seq, md5(case when is_reversed = 1 then reverse(qual_text) else qual_text end) qual from long_reads where read_text is not null and qual_text is not null",
