@@ -46,7 +46,7 @@ def match_samples(reads: DataFrame, tag: str, lane: str, sheet: DataFrame) -> Da
     first = hamming(F.substring(F.col("_tag"), F.lit(1), n1), F.col("index1")) <= 1
     second = F.col("index2").isNull() | (hamming(F.substring(F.col("_tag"), n1 + 1, F.length("index2")), F.col("index2")) <= 1)
     fits = (F.col("sheet_lane") == "*") | (F.col("sheet_lane") == F.col("_lane"))
-    found = own.join(F.broadcast(sheet.limit(10_000)), first & second & fits).groupBy("_tag", "_lane").agg(F.min(F.struct("row_no", "sample")).sample.alias("sample"))
+    found = own.join(F.broadcast(sheet), first & second & fits).groupBy("_tag", "_lane").agg(F.min(F.struct("row_no", "sample")).sample.alias("sample"))
     return reads.join(found, (reads[tag] == F.col("_tag")) & (reads[lane].cast("string") == F.col("_lane")), "left").drop("_tag", "_lane")
 
 

@@ -13,9 +13,9 @@ def numbered(df: DataFrame, order: str, out: str = "row_no", shares: int = 64) -
     """Rows with their number (from 0) in the order of a unique whole-number
     column, without bringing them to one task: rows are ranked within ranges
     of the column, and the ranges' sizes added up."""
-    bounds = df.agg(F.min(order).alias("a"), F.max(order).alias("z"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("z") - F.col("a") + 1) / shares))
-    ranged = df.join(F.broadcast(bounds), F.lit(True)).withColumn("_r", F.floor((F.col(order) - F.col("a")) / width)).drop("a", "z")
+    low, high = df.select(F.min(order)).scalar(), df.select(F.max(order)).scalar()
+    width = F.greatest(F.lit(1), F.ceil((high - low + 1) / shares))
+    ranged = df.withColumn("_r", F.floor((F.col(order) - low) / width))
     sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy(order)) - 1)
