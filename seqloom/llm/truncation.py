@@ -30,7 +30,7 @@ from seqloom.session import materialize
 CLOSING = ".!?\"')]»”’“"
 OMISSION = ("...", "…")
 
-_END = "doc_id long, source string, n_chars long, n_bytes long, mark string, unit string, head long"
+_END = "doc_id long, source string, n_chars long, n_bytes long, n_mark int, mark string, unit string, head long"
 
 
 def last_unit(text: str) -> tuple[str, str]:
@@ -75,9 +75,9 @@ def _ends(docs: DataFrame, doc_id: str, text: str, source: str, head: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.compute.utf8_length(batch.column(2)).cast(pa.int64()), pa.compute.binary_length(batch.column(2)).cast(pa.int64()),
-                    pa.array(marks, pa.string()), pa.array(units, pa.string()), pa.array(heads, pa.int64()),
+                    pa.array([next((len(m) for m in OMISSION if x.rstrip().endswith(m)), 0) for x in texts], pa.int32()), pa.array(marks, pa.string()), pa.array(units, pa.string()), pa.array(heads, pa.int64()),
                 ],
-                names=["doc_id", "source", "n_chars", "n_bytes", "mark", "unit", "head"],
+                names=["doc_id", "source", "n_chars", "n_bytes", "n_mark", "mark", "unit", "head"],
             )
 
     return rows.mapInArrow(read, _END)
@@ -195,7 +195,9 @@ def truncated(docs: DataFrame, doc_id: str, text: str, source: str, head: int =
 
     limits = field_limits(ends).withColumnRenamed("source", "s")
     judged = ends.filter("mark <> 'closed'").join(F.broadcast(limits) if ends.select("source").distinct().count() <= 10_000 else limits, F.col("source").eqNullSafe(F.col("s")), "left")
-    size = F.when(F.col("unit_of_length") == "chars", F.col("n_chars")).otherwise(F.col("n_bytes"))
+    # a mark of omission takes the room of three letters, whichever sign it is
+    letters_ = F.col("n_chars") + F.when(F.col("n_mark") > 0, 3 - F.col("n_mark")).otherwise(0)
+    size = F.when(F.col("unit_of_length") == "chars", letters_).otherwise(F.col("n_bytes"))
     # a limit in bytes may fall within a letter, which is then left out
     at_limit = F.coalesce((size <= F.col("max_length")) & (size > F.col("max_length") - F.when(F.col("unit_of_length") == "chars", 1).otherwise(2)), F.lit(False))
 
