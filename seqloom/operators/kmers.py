@@ -62,7 +62,7 @@ def index(contigs: DataFrame, contig: str, seq: str, start: str | None = None, k
     return places.join(hot, "kmer", "left_anti")
 
 
-def subreads(reads: DataFrame, read: str, seq: str, n: int = 10, k: int = 16) -> DataFrame:
+def spaced_seeds(reads: DataFrame, read: str, seq: str, n: int = 10, k: int = 16) -> DataFrame:
     """(read, strand, offset, letters, kmer): ``n`` evenly spaced windows of
     each read of either strand (0 as is, 1 reversed and complemented)."""
     both = reads.filter(F.length(seq) >= k).select(F.col(read).alias("read"), F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.upper(seq).alias("s")), F.struct(F.lit(1).alias("strand"), F.upper(reverse_complement(seq)).alias("s")))).alias("x")).select("read", "x.strand", "x.s")

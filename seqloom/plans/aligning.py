@@ -35,7 +35,7 @@ def g10_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _changed_reads(spark, sf_dir)
     both = r.select(F.col("block_id").alias("read"), F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.upper("s").alias("s")), F.struct(F.lit(1).alias("strand"), F.upper(reverse_complement("s")).alias("s")))).alias("x")).select("read", "x.*")
     index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=20)
-    best = kmers.best_votes(kmers.votes(kmers.subreads(r, "block_id", "s"), index), 2, 2)
+    best = kmers.best_votes(kmers.votes(kmers.spaced_seeds(r, "block_id", "s"), index), 2, 2)
     return al.align(best, both, _blocks(spark, sf_dir))
 
 
@@ -45,13 +45,13 @@ def g5_paired_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "index_blocks").filter("length(base_values) >= 400")
     m1 = b.select("block_id", F.upper(F.substring("base_values", 21, 90)).alias("s"))
     m2 = b.select("block_id", reverse_complement(F.upper(F.substring("base_values", 201, 90))).alias("s"))
-    c1, c2 = (kmers.votes(kmers.subreads(m, "block_id", "s"), index) for m in (m1, m2))
+    c1, c2 = (kmers.votes(kmers.spaced_seeds(m, "block_id", "s"), index) for m in (m1, m2))
     return al.pair_candidates(c1, c2)
 
 
 def g14_dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=20)
-    return al.dense_windows(kmers.votes(kmers.subreads(_cut_reads(spark, sf_dir), "block_id", "s"), index), 2000)
+    return al.dense_windows(kmers.votes(kmers.spaced_seeds(_cut_reads(spark, sf_dir), "block_id", "s"), index), 2000)
 
 
 def u18_indels(spark: SparkSession, sf_dir: str) -> DataFrame:

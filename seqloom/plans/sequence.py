@@ -68,12 +68,12 @@ def _cut_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("block_id", F.when(F.col("block_id") % 2 == 1, sq.reverse_complement(s)).otherwise(s).alias("s"))
 
 
-def g3_subreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g3_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seeds(spark, sf_dir).drop("kmer")
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.subreads(_cut_reads(spark, sf_dir), "block_id", "s")
+    return kmers.spaced_seeds(_cut_reads(spark, sf_dir), "block_id", "s")
 
 
 def a16_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,7 @@ def k10_planted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    fn15_reverse_complement, fn16_kmer_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_subreads, a16_votes, w3_best_votes, u8_full_scan,
+    fn15_reverse_complement, fn16_kmer_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_seeds, a16_votes, w3_best_votes, u8_full_scan,
     jh_barcodes, ji_samples, a17_merged_tags, a18_gene_conflicts, a19_cell_gene_counts, a20_ambient, w5_cell_ranks, w6_rescue, k11_matrix, w7_systematic_sample, u10_allocated, u14_fastq, k10_planted_variants,
 )
 
@@ -221,7 +221,7 @@ v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "of
         "fn29_gc_content": "select block_id, length(regexp_replace(base_values, '[^GCgc]', '', 'g')) gc, length(regexp_replace(base_values, '[^ACGTacgt]', '', 'g')) called, greatest(0, length(base_values) - 12) trimmed from index_blocks where base_values is not null",
         "a15_kmer_counts": f"select times, count(*) kmers from (select kmer, count(*) times from ({blocks.format(step=3)}) group by kmer) group by times",
         "g2_index": f"with p as (select kmer, chro_name contig, start_base_offset + o pos from ({blocks.format(step=3)})) select contig, count(*) n, cast(sum(pos) as bigint) places from p where kmer in (select kmer from p group by kmer having count(*) <= 2) group by contig",
-        "g3_subreads": f"with {seeds} select \"read\", strand, \"offset\", kmer letters from seeds",
+        "g3_seeds": f"with {seeds} select \"read\", strand, \"offset\", kmer letters from seeds",
         "a16_votes": votes + "select * from v",
         "w3_best_votes": votes + ', r as (select *, cast(dense_rank() over (partition by "read" order by votes desc) as int) rank from v where votes >= 2) select *, count(*) over (partition by "read", rank) ties from r where rank <= 3',
         "u8_full_scan": f"with w as (select block_id contig, p pos, upper(substr(base_values, p, {len(q)})) w from (select *, cast(unnest(range(1, length(base_values) - {len(q) - 2})) as bigint) p from index_blocks where length(base_values) >= {len(q)})) select contig, pos, 0 strand, {match(q)} matches from w where {match(q)} >= 7 union all select contig, pos, 1, {match(back)} from w where {match(back)} >= 7",
