@@ -142,9 +142,11 @@ def call_variants(counts: DataFrame, reference: DataFrame, known: DataFrame | No
     return out.select("chr", "pos", "ref", "alts", "total", "mismatches", (F.col("bg_matches") + F.col("bg_mismatches")).alias("bg_total"), "bg_mismatches", "p", (-F.log10(F.greatest(F.lit(1e-40), "p"))).alias("quality"))
 
 
-def shared_variants(rows: DataFrame, n_files: int) -> DataFrame:
+def shared_variants(rows: DataFrame, n_files: int | None = None) -> DataFrame:
     """Variants (kind, chr, pos, ref, alt) that all files have, each with the
-    row of least quality (then first file)."""
+    row of least quality (then first file). n_files: by default as many as
+    rows has, a null file being one of its own."""
+    files = F.count_distinct("file") + F.coalesce(F.max(F.col("file").isNull().cast("int")), F.lit(0))
     key = ["kind", "chr", "pos", "ref", "alt"]
-    per = rows.groupBy(*key).agg(F.count_distinct("file").alias("n"), F.min(F.struct("quality", "file")).alias("m"))
-    return per.filter(F.col("n") == n_files).select(*key, F.col("m.quality").alias("quality"), F.col("m.file").alias("file"))
+    per = rows.groupBy(*key).agg(files.alias("n"), F.min(F.struct("quality", "file")).alias("m"))
+    return per.filter(F.col("n") == (rows.agg(files.alias("n")).scalar() if n_files is None else n_files)).select(*key, F.col("m.quality").alias("quality"), F.col("m.file").alias("file"))

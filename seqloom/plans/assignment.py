@@ -102,6 +102,19 @@ def k1_gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asg.gene_lengths(feats).join(wide, "gene", "left").select("gene", "length", *[(F.coalesce(c, F.lit(0)) / asg.UNIT).cast("long").alias(c) for c in ("ctl_a", "ctl_b", "trt_a")])
 
 
+def k1_sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene, union length of its exons, and counts in every sample there is, a
+    row each; reads without a sample are one of their own."""
+    feats = exon_features(spark, sf_dir)
+    a = asg.assign(fragments(spark, sf_dir, False), feats, Options(allow_overlap=True))
+    al = table(spark, sf_dir, "alignments")
+    per = a.filter("status = 'Assigned'").join(al.select(F.col("row_id").alias("frag"), "sample_id"), "frag").select(F.explode("targets").alias("gene"), F.col("sample_id").alias("sample"), "increment")
+    counts = per.groupBy("gene", "sample").agg(F.sum("increment").alias("n")).withColumnRenamed("gene", "g")
+    cells = asg.gene_lengths(feats).crossJoin(al.select("sample_id").distinct())
+    both = cells.join(counts, (F.col("gene") == F.col("g")) & F.col("sample_id").eqNullSafe(F.col("sample")), "left")
+    return both.select("gene", "length", "sample_id", (F.coalesce("n", F.lit(0)) / asg.UNIT).cast("long").alias("n"))
+
+
 def a4_gene_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asg.gene_lengths(exon_features(spark, sf_dir))
 
@@ -158,7 +171,7 @@ def a11_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "alignments").groupBy(fragment_name("qname").alias("fragment")).agg(F.count(F.lit(1)).alias("n"), F.max(~fl.has("flag", fl.UNMAPPED)).alias("mapped"))
 
 
-OTHER = (k5_read_status, k1_gene_table, a4_gene_lengths, p1c_sections, p_cigar_measures, p_flags, fn12_chromosomes, jc_pairs, u1_repaired, u4_mapped_share, u13_mapped_bases, a11_names)
+OTHER = (k5_read_status, k1_gene_table, k1_sample_counts, a4_gene_lengths, p1c_sections, p_cigar_measures, p_flags, fn12_chromosomes, jc_pairs, u1_repaired, u4_mapped_share, u13_mapped_bases, a11_names)
 
 
 def queries() -> dict:
@@ -304,6 +317,9 @@ def oracle_sql() -> dict[str, str]:
         + f", cnt as (select target gene, m.sample_id, count(*) c from done d join best b on d.frag = b.frag and b.score = b.top join al m on m.row_id = d.frag where st = 'Assigned' group by all), len2 as ({_LENGTHS}) select l.gene, l.length, "
         + ", ".join(f"cast(coalesce(sum(c) filter (sample_id = '{s}'), 0) as bigint) {s}" for s in ("ctl_a", "ctl_b", "trt_a"))
         + " from len2 l left join cnt using (gene) group by l.gene, l.length",
+        "k1_sample_counts": _assign_sql("a1_exon_counts").replace("f.fid target", "f.gene target")
+        + f""", cnt as (select target gene, m.sample_id, count(*) c from done d join best b on d.frag = b.frag and b.score = b.top join al m on m.row_id = d.frag where st = 'Assigned' group by all), len2 as ({_LENGTHS}), sm as (select distinct sample_id from alignments)
+select l.gene, l.length, sm.sample_id, cast(coalesce(c, 0) as bigint) n from len2 l cross join sm left join cnt on cnt.gene = l.gene and cnt.sample_id is not distinct from sm.sample_id""",
         "a4_gene_lengths": _LENGTHS,
         "p1c_sections": _READS + 'select row_id, no section_no, a "start", z "stop", rs read_start, bef "before" from secs',
         "p_cigar_measures": _READS
