@@ -206,6 +206,24 @@ def dense_windows(voted: DataFrame, width: int = 20_000, keep: int = 3) -> DataF
     return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("read", "strand", "contig", F.col("diagonal").alias("w_start"), F.col("w_votes").alias("votes"), "rank")
 
 
+def long_read_windows(voted: DataFrame, lengths: DataFrame, keep: int = 3) -> DataFrame:
+    """As ``dense_windows``, with stretches by the length of the read: 20,000
+    below 10,000 letters, else a third more than the read, 1,500,000 at most.
+    lengths: read, length.
+
+    A frame's reach can't differ by row, so ends of stretches are rows among
+    the votes, and running sums are subtracted.
+    """
+    width = F.when(F.col("length") < 10_000, 20_000).otherwise(F.least(F.lit(1_500_000), F.floor(F.col("length") * 4 / 3))).cast("long")
+    spots = voted.join(lengths, "read").withColumn("x", F.explode(F.array(F.struct(F.col("diagonal").alias("at"), F.lit(0).alias("side"), F.col("votes").alias("v")), F.struct((F.col("diagonal") + width).alias("at"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("v")))))
+    run = W.partitionBy("read", "strand", "contig").orderBy("x.at", "x.side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = spots.withColumn("sum", F.sum("x.v").over(run))
+    start, stop = F.max(F.when(F.col("x.side") == 0, F.col("sum") - F.col("x.v"))), F.max(F.when(F.col("x.side") == 1, F.col("sum")))
+    total = summed.groupBy("read", "strand", "contig", "diagonal").agg((stop - start).alias("w_votes"))
+    order = W.partitionBy("read").orderBy(F.desc("w_votes"), "contig", "strand", "diagonal")
+    return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("read", "strand", "contig", F.col("diagonal").alias("w_start"), F.col("w_votes").alias("votes"), "rank")
+
+
 def chained(seeds: DataFrame, keys: list[str]) -> DataFrame:
     """The longest chain of seeds of each group that rises in read and
     contig: keys, offset, pos. Groups are the seeds of one window of one read,

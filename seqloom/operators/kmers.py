@@ -72,6 +72,13 @@ def spaced_seeds(reads: DataFrame, read: str, seq: str, n: int = 10, k: int = 16
     return out.withColumn("kmer", kmer_code("letters", k)).filter("kmer is not null")
 
 
+def dense_seeds(reads: DataFrame, read: str, seq: str, k: int = 16, step: int = 3) -> DataFrame:
+    """(read, strand, offset, kmer): windows of each long read of either strand
+    that begin every ``step`` letters, so their number grows with the read."""
+    both = reads.filter(F.length(seq) >= k).select(F.col(read).alias("read"), F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.col(seq).alias("s")), F.struct(F.lit(1).alias("strand"), reverse_complement(seq).alias("s")))).alias("x"))
+    return windows(both.select("read", "x.strand", "x.s"), "s", k, step)
+
+
 def votes(seeds: DataFrame, places: DataFrame, tolerance: int = 0) -> DataFrame:
     """(read, strand, contig, diagonal, votes, c_start, c_stop): seeds that
     agree on where the read begins. With a tolerance diagonals are rounded

@@ -54,6 +54,14 @@ def g14_dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.dense_windows(kmers.votes(kmers.spaced_seeds(_cut_reads(spark, sf_dir), "block_id", "s"), index), 2000)
 
 
+def g14_long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all long reads, each with seeds over its whole length."""
+    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=100)
+    r = table(spark, sf_dir, "long_reads").filter("read_text is not null")
+    voted = kmers.votes(kmers.dense_seeds(r, "read_id", "read_text"), index)
+    return al.long_read_windows(voted, r.select(F.col("read_id").alias("read"), F.length("read_text").alias("length")))
+
+
 def u18_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.indel_events(reads(spark, sf_dir).select("chr", "sections")).withColumn("quality", F.round(al.indel_quality(F.col("support")) * 2**30, 3))
 
@@ -81,7 +89,7 @@ def fn22_template_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("r1.row_id").alias("row_id"), al.template_length(F.col("r1.pos"), reference_span(F.col("r1.cigar")), F.col("r2.pos"), reference_span(F.col("r2.cigar"))).alias("template_length"))
 
 
-ALL = (g10_aligned, g5_paired_candidates, g14_dense_windows, u18_indels, jl_alternative_splices, fn5_fragment_lengths, fn22_template_lengths)
+ALL = (g10_aligned, g5_paired_candidates, g14_dense_windows, g14_long_reads, u18_indels, jl_alternative_splices, fn5_fragment_lengths, fn22_template_lengths)
 
 
 def queries() -> dict:

@@ -1,8 +1,11 @@
 """Queries that must take in the whole of their tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from seqloom.operators import pileup
+from seqloom.plans.aligning import g14_long_reads
 from seqloom.plans.assignment import k1_sample_counts
 
 SF = "/root/testdata/sf0.01"
@@ -24,3 +27,21 @@ def test_variants_shared_by_all_files(spark):
     rows = [("SNP", "c", p, "A", "G", 10 + i, f) for p in (1, 2) for i, f in enumerate(("a", "b", None, "d")) if (p, f) not in ((2, None), (2, "d"))]
     v = spark.createDataFrame(rows, "kind string, chr string, pos long, ref string, alt string, quality int, file string")
     assert [(r.pos, r.quality, r.file) for r in pileup.shared_variants(v).collect()] == [(1, 10, "a")]
+
+
+def test_long_reads_are_placed_whole(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    often = text(40)  # stands 50 times: below the threshold of 100
+    contig = text(9_000) + often * 50 + text(30_000)
+    back = contig[15_000:21_000][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    # only the middle of the first read is of the contig, between places where ten spaced seeds fall
+    reads = [(1, text(700) + contig[3_000:3_300] + text(5_000)), (2, back), (3, text(3_000)), (4, contig[12_000:38_000]), (5, often[:30]), (6, None)]
+    spark.createDataFrame([(1, "c", 1_000, contig)], "block_id long, chro_name string, start_base_offset long, base_values string").write.parquet(f"{tmp_path}/index_blocks.parquet")
+    spark.createDataFrame(reads, "read_id long, read_text string").write.parquet(f"{tmp_path}/long_reads.parquet")
+    got = {(r.read, r["rank"]): r for r in g14_long_reads(spark, str(tmp_path)).collect()}
+    best = {k: (r.strand, r.w_start, r.votes) for (k, rank), r in got.items() if rank == 1}
+    assert best[1][:2] == (0, 1_000 + 3_000 - 700) and best[1][2] >= 90
+    assert best[2] == (1, 16_000, (6_000 - 16) // 3 + 1)
+    assert best[4] == (0, 13_000, (26_000 - 16) // 3 + 1)
+    assert 3 not in best and best[5][2] == 5 * 50 and 6 not in best
