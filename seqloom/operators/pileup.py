@@ -27,17 +27,18 @@ def drop_crowded_locations(reads: DataFrame, least: int = 10) -> DataFrame:
     return place.join(crowded, ["chr", "_at"], "left_anti").drop("_at")
 
 
-def base_counts(reads: DataFrame, least_score: int = 13, trim: int = 3) -> DataFrame:
+def base_counts(reads: DataFrame, least_score: int = 13, trim: int = 3, by: str = "fragment") -> DataFrame:
     """(chr, pos, a, c, g, t): bases read at each position.
 
     reads: fragment, chr, pos (of the first base), seq, qual; ungapped.
     Bases within ``trim`` of an end or below ``least_score`` don't count. Of
     the bases of one fragment at one position the best scored counts (then the
-    least letter).
+    least letter). Reads are parted ``by`` a column that is the same for all
+    reads of a fragment.
     """
     rows = reads.select("fragment", "chr", "pos", "seq", "qual").filter("seq is not null and qual is not null and pos is not null")
     # whole reads are shuffled and not their bases, and counts leave each task added up
-    partial = rows.repartition("fragment").sortWithinPartitions("fragment").mapInArrow(_counted_bases(least_score, trim), "chr string, pos long, a long, c long, g long, t long")
+    partial = rows.repartition(by).sortWithinPartitions("fragment").mapInArrow(_counted_bases(least_score, trim), "chr string, pos long, a long, c long, g long, t long")
     return partial.groupBy("chr", "pos").agg(*[F.sum(x).alias(x) for x in "acgt"])
 
 

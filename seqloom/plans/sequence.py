@@ -19,6 +19,12 @@ def fn16_kmer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "long_reads").select("read_id", sq.kmer_code(head).alias("code"))
 
 
+def fn16_window_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all windows of the reads that hold only bases."""
+    r = table(spark, sf_dir, "long_reads").select("read_id", "read_text")
+    return kmers.windows(r, "read_text").select("read_id", "offset", F.col("kmer").alias("code"))
+
+
 def fn18_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum and extremes of the scores of each read."""
     s = sq.scores("qual_text")
@@ -165,19 +171,31 @@ def u14_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("read_id", F.md5(F.when(back, sq.reverse_complement("read_text")).otherwise(F.col("read_text"))).alias("seq"), F.md5(F.when(back, F.reverse("qual_text")).otherwise(F.col("qual_text"))).alias("qual"))
 
 
+def _planted_reads(b: DataFrame) -> DataFrame:
+    """Reads of 150 letters from every fifth letter of the blocks (chr, s); in
+    every third of them letters 101, 361, 621 and so on are changed. Blocks are
+    first cut into stretches of 260 starts, so that no text is walked again
+    for every read."""
+    other = lambda at: F.translate(F.substring("t", at, 1), "ACGT", "CGTA")
+    starts = F.sequence(F.lit(0), F.floor((F.length("s") - 1) / 260).cast("int"))
+    cut = b.filter("length(s) > 0").withColumn("k", F.explode(starts)).select("chr", "k", F.substring(F.col("s"), F.col("k") * 260 + 1, F.lit(409)).alias("t"))
+    both = cut.withColumn("planted", F.concat(F.substring("t", 1, 100), other(101), F.substring("t", 102, 259), other(361), F.substring("t", 362, 48)))
+    reads = both.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(51)))).withColumn("no", F.col("k") * 52 + F.col("r")).filter(F.length("t") > F.col("r") * 5)
+    seq = F.substring(F.when(F.col("no") % 3 == 0, F.col("planted")).otherwise(F.col("t")), F.col("r") * 5 + 1, F.lit(150))
+    return reads.select(F.concat_ws("/", "chr", "no").alias("fragment"), "chr", (F.col("no") * 5 + 1).cast("long").alias("pos"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
+
+
 def k10_planted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls on reads cut from the blocks, every third of which has letter 101
-    of its block changed."""
-    b = table(spark, sf_dir, "index_blocks").filter("length(base_values) >= 400").select(F.concat_ws("/", "chro_name", "block_id").alias("chr"), F.upper("base_values").alias("s"))
-    planted = F.concat(F.substring(F.col("s"), F.lit(1), F.lit(100)), F.translate(F.substring(F.col("s"), F.lit(101), F.lit(1)), "ACGT", "CGTA"), F.substring(F.col("s"), F.lit(102), F.lit(300)))
-    reads = b.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("pos", F.col("r") * 3 + 1).select(F.concat_ws("/", "chr", "r").alias("fragment"), "chr", "pos", F.substring(F.when(F.col("r") % 3 == 0, planted).otherwise(F.col("s")), F.col("pos"), F.lit(150)).alias("seq"))
-    counts = pileup.base_counts(reads.withColumn("qual", F.lit("I" * 150)))
-    ref = b.select("chr", F.posexplode(F.split(F.substring("s", 1, 260), ""))).select("chr", (F.col("pos") + 1).alias("pos"), F.col("col").alias("ref"))
+    """Calls on reads cut from the whole of all blocks, every third of which
+    has one letter in 260 of its block changed."""
+    b = table(spark, sf_dir, "index_blocks").filter("base_values is not null").select(F.concat_ws("/", "chro_name", "block_id").alias("chr"), F.upper("base_values").alias("s"))
+    counts = pileup.base_counts(_planted_reads(b), by="chr")
+    ref = b.select("chr", F.posexplode(F.split("s", ""))).select("chr", (F.col("pos") + 1).alias("pos"), F.col("col").alias("ref"))
     return pileup.call_variants(counts, ref).select("chr", "pos", "ref", "alts", "total", "mismatches", "bg_total", "bg_mismatches", F.round("quality", 4).alias("quality"))
 
 
 ALL = (
-    fn15_reverse_complement, fn16_kmer_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_seeds, a16_votes, w3_best_votes, u8_full_scan,
+    fn15_reverse_complement, fn16_kmer_codes, fn16_window_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_seeds, a16_votes, w3_best_votes, u8_full_scan,
     jh_barcodes, ji_samples, a17_merged_tags, a18_gene_conflicts, a19_cell_gene_counts, a20_ambient, w5_cell_ranks, w6_rescue, k11_matrix, w7_systematic_sample, u10_allocated, u14_fastq, k10_planted_variants,
 )
 
@@ -214,6 +232,7 @@ v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "of
     return {
         "fn15_reverse_complement": f"select block_id, md5({_rc('base_values')}) digest, sha256(base_values) sha from index_blocks",
         "fn16_kmer_codes": "select read_id, case when regexp_matches(upper(substr(read_text, 1, 16)), '^[ACGT]{16}$') then cast(list_sum(list_transform(range(1, 17), lambda i: (instr('AGCT', upper(substr(read_text, i, 1))) - 1) * (4 ** (16 - i)))) as bigint) end code from long_reads",
+        "fn16_window_codes": "select read_id, cast(o as int) \"offset\", cast(list_sum(list_transform(range(1, 17), lambda i: (instr('AGCT', upper(substr(w, i, 1))) - 1) * (4 ** (16 - i)))) as bigint) code from (select read_id, o, substr(read_text, o + 1, 16) w from (select *, unnest(range(0, length(read_text) - 15)) o from long_reads)) where regexp_matches(upper(w), '^[ACGT]{16}$')",
         "fn18_scores": "select read_id, cast(sum(s) as bigint) total, min(s) least, max(s) greatest from (select read_id, unicode(substr(qual_text, unnest(range(1, length(qual_text) + 1)), 1)) - 33 s from long_reads where length(qual_text) > 0) group by read_id",
         "fn19_close_names": f"with t as (select distinct gene_name, transcript_id from tx_exons where gene_name is not null), f as (select gene_name, min(transcript_id) m from t group by gene_name) select gene_name, transcript_id, cast({ham('transcript_id', 'm')} as int) distance from t join f using (gene_name)",
         "fn20_splice_classes": f"select block_id, {splice} splice_class, case {splice} when 1 then '+' when 2 then '-' else 'NA' end strand from (select block_id, upper(substr(base_values, 11, 2)) d, upper(substr(base_values, 101, 2)) a from index_blocks where length(base_values) >= 120)",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import pileup
 from seqloom.plans.aligning import g14_long_reads
+from seqloom.plans.sequence import fn16_window_codes, k10_planted_variants
 from seqloom.plans.assignment import k1_sample_counts
 
 SF = "/root/testdata/sf0.01"
@@ -45,3 +46,20 @@ def test_long_reads_are_placed_whole(spark, tmp_path):
     assert best[2] == (1, 16_000, (6_000 - 16) // 3 + 1)
     assert best[4] == (0, 13_000, (26_000 - 16) // 3 + 1)
     assert 3 not in best and best[5][2] == 5 * 50 and 6 not in best
+
+
+def test_variants_all_over_the_blocks(spark):
+    got = {(r.chr, r.pos) for r in k10_planted_variants(spark, SF).select("chr", "pos").collect()}
+    planted = set()
+    for b in spark.read.parquet(f"{SF}/index_blocks.parquet").filter("base_values is not null").collect():
+        s = b.base_values.upper()
+        # near an end there are few reads, and letters that aren't bases have no variants
+        planted |= {(f"{b.chro_name}/{b.block_id}", p) for p in range(101, len(s) - 100, 260) if s[p - 1] in "ACGT"}
+    assert max(p for _, p in planted) > 10_000
+    assert len(planted & got) >= 0.99 * len(planted)
+    assert all(p % 260 == 101 for _, p in got)
+
+
+def test_codes_of_every_window(spark):
+    windows = sum(max(0, len(r.read_text or "") - 15) for r in spark.read.parquet(f"{SF}/long_reads.parquet").collect())
+    assert 0.9 * windows < fn16_window_codes(spark, SF).count() <= windows
