@@ -14,9 +14,10 @@ from seqloom.operators import kmers
 from seqloom.operators.intervals import union_length
 from seqloom.operators.pairing import fragment_name, pair_mates
 from seqloom.plans.assignment import _READS, fragments, reads
-from seqloom.plans.genome import _J
+from seqloom.plans.genome import _J, g8_known_junctions
 from seqloom.plans.general import table
 from seqloom.plans.sequence import _cut_reads
+from seqloom.session import materialize
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,15 +67,29 @@ def u18_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.indel_events(reads(spark, sf_dir).select("chr", "sections")).withColumn("quality", F.round(al.indel_quality(F.col("support")) * 2**30, 3))
 
 
-def jl_alternative_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junctions that share one end with those seen at least twice."""
+def _junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = reads(spark, sf_dir).filter(~fl.has("flag", fl.UNMAPPED)).select(fragment_name("qname").alias("fragment"), "chr", "sections")
-    j = jn.fragment_junctions(mapped, "fragment")
+    return jn.fragment_junctions(mapped, "fragment")
+
+
+def jl_alternative_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junctions that share one end with an exon's or with those taken as known
+    by their place, whatever their support."""
+    j = _junctions(spark, sf_dir)
     known = table(spark, sf_dir, "tx_exons").filter("exon_start <= exon_stop").select(F.col("chro_name").alias("chr"), F.col("exon_stop").alias("left"), F.lit(0).cast("long").alias("right"))
     seen = jn.junction_counts(j).filter(F.col("left") % 3 == 0).select("chr", "left", (F.col("right") + F.col("left") % 2).alias("right"))
     return al.alternative_splices(j, seen.unionByName(known)).groupBy("chr", "left", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
+def jl_supported_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junctions that share one end, but not both, with those seen in at least
+    two fragments or given by the annotation."""
+    j = materialize(_junctions(spark, sf_dir))
+    given = g8_known_junctions(spark, sf_dir).select(F.col("chro_name").alias("chr"), "left", "right")
+    seen = jn.junction_counts(j).filter("n >= 2").select("chr", "left", "right")
+    return al.alternative_splices(j, seen.unionByName(given)).groupBy("chr", "left", "right").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fn5_fragment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases that the mates of each fragment cover together; of mates on
     different chromosomes the sum."""
@@ -89,7 +104,7 @@ def fn22_template_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("r1.row_id").alias("row_id"), al.template_length(F.col("r1.pos"), reference_span(F.col("r1.cigar")), F.col("r2.pos"), reference_span(F.col("r2.cigar"))).alias("template_length"))
 
 
-ALL = (g10_aligned, g5_paired_candidates, g14_dense_windows, g14_long_reads, u18_indels, jl_alternative_splices, fn5_fragment_lengths, fn22_template_lengths)
+ALL = (g10_aligned, g5_paired_candidates, g14_dense_windows, g14_long_reads, u18_indels, jl_alternative_splices, jl_supported_splices, fn5_fragment_lengths, fn22_template_lengths)
 
 
 def queries() -> dict:
@@ -111,6 +126,10 @@ def oracle_sql() -> dict[str, str]:
 select chr, pos, kind, length, count(*) support, round(case when count(*) < 30 then pow(0.5, 30 - count(*)) else 1 end * pow(2, 30), 3) quality from nx where pos is not null and kind in ('I', 'D') and length <= 100 group by all""",
         "jl_alternative_splices": _J
         + """, kn as (select distinct * from (select chr, "left" l, "right" + "left" % 2 r from jc where "left" % 3 = 0 union all select chro_name, exon_stop, 0 from tx_exons where exon_start <= exon_stop))
+select chr, "left", "right", n from jc where not exists (select 1 from kn where kn.chr = jc.chr and l = "left" and r = "right") and (exists (select 1 from kn where kn.chr = jc.chr and l = "left") or exists (select 1 from kn where kn.chr = jc.chr and r = "right"))""",
+        "jl_supported_splices": _J
+        + """, e as (select distinct transcript_id, chro_name, exon_start a, exon_stop z from tx_exons where chro_name is not null and exon_start <= exon_stop),
+kn as (select chr, "left" l, "right" r from jc where n >= 2 union select chro_name, z, r from (select *, lead(a) over (partition by transcript_id, chro_name order by a, z) r from e) where r > z + 1)
 select chr, "left", "right", n from jc where not exists (select 1 from kn where kn.chr = jc.chr and l = "left" and r = "right") and (exists (select 1 from kn where kn.chr = jc.chr and l = "left") or exists (select 1 from kn where kn.chr = jc.chr and r = "right"))""",
         "fn5_fragment_lengths": frags
         + f""", fx as (select frag, unnest([i1, i2]) row_id from fr), fs as (select fx.frag, case when (select count(distinct al2.chr) from fx f2 join al al2 on al2.row_id = f2.row_id where f2.frag = fx.frag) > 1 then fx.row_id else 0 end part, s.a, s.z from fx join secs s on s.row_id = fx.row_id),

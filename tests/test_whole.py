@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from seqloom.operators import pileup
-from seqloom.plans.aligning import g14_long_reads
+from seqloom.plans.aligning import g14_long_reads, jl_supported_splices
 from seqloom.plans.sequence import fn16_window_codes, k10_planted_variants
 from seqloom.plans.assignment import k1_sample_counts
 
@@ -63,3 +63,18 @@ def test_variants_all_over_the_blocks(spark):
 def test_codes_of_every_window(spark):
     windows = sum(max(0, len(r.read_text or "") - 15) for r in spark.read.parquet(f"{SF}/long_reads.parquet").collect())
     assert 0.9 * windows < fn16_window_codes(spark, SF).count() <= windows
+
+
+def test_known_splices_by_support(spark, tmp_path):
+    for name in ("genes", "tx_exons", "chr_alias"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0 if name == "tx_exons" else 10**6).write.parquet(f"{tmp_path}/{name}.parquet")
+    chrom = spark.read.parquet(f"{SF}/genes.parquet").first().chro_name
+    # (left, right, fragments): 1,000 and 2,002 are no multiples of 3, 3,000 is one
+    junctions = [(1_000, 1_501, 2), (1_000, 1_701, 1), (2_002, 2_501, 2), (2_102, 2_501, 1), (3_000, 3_501, 1), (3_000, 3_701, 1)]
+    reads = [(f"j{i}x{k}", left - 49, f"50M{right - left - 1}N50M") for i, (left, right, n) in enumerate(junctions) for k in range(n)]
+    al = spark.read.parquet(f"{SF}/alignments.parquet")
+    row = al.filter("sample_id is not null").first().asDict()
+    rows = [row | {"row_id": i, "qname": q, "flag": 0, "rname": chrom, "pos": p, "cigar": c, "tags": None} for i, (q, p, c) in enumerate(reads)]
+    spark.createDataFrame(rows, al.schema).write.parquet(f"{tmp_path}/alignments.parquet")
+    got = {(r.left, r.right, r.n) for r in jl_supported_splices(spark, str(tmp_path)).collect()}
+    assert got == {(1_000, 1_701, 1), (2_102, 2_501, 1)}
