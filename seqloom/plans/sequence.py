@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import sequence as sq
 from seqloom.operators import cells, kmers, pileup, sampling
 from seqloom.plans.general import table
+from seqloom.session import materialize
 
 
 def fn15_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +150,19 @@ def w6_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.rescue_candidates(w5_cell_ranks(spark, sf_dir), 50, 1000, 3)
 
 
+def a20_ambient_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by gene over the cells of ranks 45,001 to 90,000."""
+    c = _run_counts(spark, sf_dir)
+    return cells.ambient_profile(c, cells.ranked_cells(c, "cell"), "cell", "gene")
+
+
+def w6_rescue_called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells to rescue behind those that the bootstrap calls."""
+    ranks = materialize(w5_cell_ranks(spark, sf_dir))
+    totals = ranks.select("total").toPandas()["total"].to_numpy()
+    return cells.rescue_candidates(ranks, cells.cell_cutoff(totals))
+
+
 def k11_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.matrix(a19_cell_gene_counts(spark, sf_dir), "cell", "gene")
 
@@ -196,7 +210,7 @@ def k10_planted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     fn15_reverse_complement, fn16_kmer_codes, fn16_window_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_seeds, a16_votes, w3_best_votes, u8_full_scan,
-    jh_barcodes, ji_samples, a17_merged_tags, a18_gene_conflicts, a19_cell_gene_counts, a20_ambient, w5_cell_ranks, w6_rescue, k11_matrix, w7_systematic_sample, u10_allocated, u14_fastq, k10_planted_variants,
+    jh_barcodes, ji_samples, a17_merged_tags, a18_gene_conflicts, a19_cell_gene_counts, a20_ambient, a20_ambient_ranks, w5_cell_ranks, w6_rescue, w6_rescue_called, k11_matrix, w7_systematic_sample, u10_allocated, u14_fastq, k10_planted_variants,
 )
 
 
@@ -253,6 +267,7 @@ select f.sample, count(*) n from r left join f using (tag, lane) group by f.samp
         "a18_gene_conflicts": solved + "select * from k",
         "a19_cell_gene_counts": solved + "select cell, gene, count(*) n from k group by all",
         "a20_ambient": f"with {cellsql} select gene, cast(sum(n) as bigint) n from c join rk using (cell) where rank > 200 and rank <= 900 group by gene",
+        "a20_ambient_ranks": f"with {cellsql} select gene, cast(sum(n) as bigint) n from c join rk using (cell) where rank > 45000 and rank <= 90000 group by gene",
         "w5_cell_ranks": f"with {cellsql} select * from rk",
         "w6_rescue": f"with {cellsql} select * from rk where rank > 50 and rank < 1000 and total >= greatest(3.0, 0.01 * (select median(total) from rk where rank <= 50)) and rank <= 20050",
         "k11_matrix": solved + ", n as (select cell, gene, count(*) n from k group by all) select cast(dense_rank() over (order by gene) as int) gene_no, cast(dense_rank() over (order by cell) as int) cell_no, n from n",

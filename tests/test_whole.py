@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from seqloom.operators import pileup
+from seqloom.operators import cells, pileup
 from seqloom.plans.aligning import g14_long_reads, jl_supported_splices
-from seqloom.plans.sequence import fn16_window_codes, k10_planted_variants
+from seqloom.plans.sequence import a20_ambient_ranks, fn16_window_codes, k10_planted_variants, w6_rescue_called
 from seqloom.plans.assignment import k1_sample_counts
 
 SF = "/root/testdata/sf0.01"
@@ -78,3 +78,30 @@ def test_known_splices_by_support(spark, tmp_path):
     spark.createDataFrame(rows, al.schema).write.parquet(f"{tmp_path}/alignments.parquet")
     got = {(r.left, r.right, r.n) for r in jl_supported_splices(spark, str(tmp_path)).collect()}
     assert got == {(1_000, 1_701, 1), (2_102, 2_501, 1)}
+
+
+def _read_log(spark, tmp_path, totals: dict[int, int]) -> str:
+    """A log of cells x<no>/0 with as many rows as given, each of its own gene."""
+    t = spark.createDataFrame(list(totals.items()), "no long, n int")
+    log = t.select(F.format_string("x%06d", "no").alias("run_id"), F.lit(50).cast("long").alias("log_id"), F.format_string("g%d", "no").alias("sample_id"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    log.write.parquet(f"{tmp_path}/read_log.parquet")
+    return str(tmp_path)
+
+
+def test_ambient_ranks(spark, tmp_path):
+    d = _read_log(spark, tmp_path, {i: 2 if i <= 45_000 else 1 for i in range(1, 90_003)})
+    got = sorted(int(r.gene[1:]) for r in a20_ambient_ranks(spark, d).select("gene").collect())
+    assert (got[0], got[-1], len(got)) == (45_001, 90_000, 45_000)
+
+
+def test_cells_behind_the_bootstrap(spark, tmp_path):
+    # the bootstrap calls the first 60 of 2,060; of the others those of 500 and more may yet be cells, 1,500 of them
+    d = _read_log(spark, tmp_path, {i: 8_000 if i <= 60 else 500 if i <= 1_560 else 499 for i in range(1, 2_061)})
+    got = w6_rescue_called(spark, d).agg(F.min("rank"), F.max("rank"), F.count("rank")).first()
+    assert tuple(got) == (61, 1_560, 1_500)
+
+
+def test_rescue_ends_at_its_rank(spark):
+    ranks = spark.range(1, 60_001).select(F.col("id").cast("string").alias("cell"), F.lit(900).cast("long").alias("total"), F.col("id").cast("int").alias("rank"))
+    for n_cells, last in ((30_000, 44_999), (10_000, 30_000)):
+        assert tuple(cells.rescue_candidates(ranks, n_cells).agg(F.min("rank"), F.max("rank")).first()) == (n_cells + 1, last)
