@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import qdigest
-from seqloom.llm.leaks import leaked
+from seqloom.llm.leaks import corpus_index, exact_phrases, leaked
 from seqloom.llm.neardup import NearDuplicates
 from seqloom.llm.packing import pack, token_counts
 from seqloom.llm.spans import shared_spans
@@ -129,7 +129,7 @@ def p7_pack_8192(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+    return leaked(corpus_index(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "eval_items"), "item_id", "passage")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,18 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("share").alias("greatest_share"))
 
 
+def p8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold some eight words of a passage letter by letter, by
+    the number of the phrase in the passage."""
+    words = F.filter(F.split("passage", r"\s+"), lambda w: w != "")
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 8).cast("int") - 1), lambda n: F.struct((n + 1).alias("no"), F.array_join(F.slice("w", n * 8 + 1, F.lit(8)), " ").alias("p")))
+    items = table(spark, sf_dir, "eval_items").select("item_id", words.alias("w")).filter("size(w) >= 8").select("item_id", F.explode(cut).alias("x"))
+    rows = items.select(F.concat_ws("/", "item_id", "x.no").alias("phrase_id"), "x.p")
+    found = exact_phrases(corpus_index(table(spark, sf_dir, "documents"), "doc_id", "text"), rows, "phrase_id", "p")
+    part = F.split("phrase_id", "/")
+    return found.select("doc_id", part[0].cast("long").alias("item_id"), part[1].cast("int").alias("phrase_no"))
+
+
 # 9: cut-off texts
 
 
@@ -165,7 +177,7 @@ def p9_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         p2_length_percentiles, p2_run_from_days, p2_long_read_percentiles, p2_score_percentiles, p4_found, p4_piece_sizes, p5_found, p5_groups,
-        p6_found, p6_read_share, p7_pack_2048, p7_pack_512, p7_pack_8192, p8_found, p8_items, p9_found, p9_source_share,
+        p6_found, p6_read_share, p7_pack_2048, p7_pack_512, p7_pack_8192, p8_found, p8_items, p8_phrases, p9_found, p9_source_share,
     )
     return {f.__name__: f for f in own}
 
@@ -222,6 +234,11 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _PIECES.format(which="length(base_values) > 4000", cut0=_CUT0) + "select block_id, piece_no, o + s piece_start, o + e - 1 piece_stop from p join b using (block_id)",
         "p4_piece_sizes": _PIECES.format(which="length(base_values) > 0", cut0=_CUT0) + "select chro_name, count(*) n_pieces, cast(sum(e - s) as bigint) letters, max(e - s) longest from p join b using (block_id) group by chro_name",
         "p5_found": _NEAR,
+        "p8_phrases": """
+with d as (select doc_id, regexp_replace(lower(strip_accents("text")), '[^\\p{L}]', '', 'g') t from documents where "text" is not null),
+w as (select item_id, list_filter(regexp_split_to_array(passage, '\\s+'), x -> x <> '') w from eval_items where passage is not null),
+q as (select item_id, n::int phrase_no, regexp_replace(lower(strip_accents(array_to_string(w[8 * n - 7 : 8 * n], ' '))), '[^\\p{L}]', '', 'g') p from (select *, unnest(range(1, len(w) // 8 + 1)) n from w))
+select doc_id, item_id, phrase_no from d join q on p <> '' and contains(t, p)""",
         "p6_found": _SPANS + "select * from p",
         "p6_read_share": _SPANS + """
 select r.read_id, length(read_text) letters, count(p.read_id) n_spans, cast(coalesce(sum(span_stop - span_start + 1), 0) as bigint) shared
