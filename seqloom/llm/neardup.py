@@ -26,7 +26,8 @@ from seqloom.session import materialize
 
 M = 256  # minima, and bits of the signature
 TOP = U(0xFFFFFFFFFFFFFFFF)
-_SKETCH = "field string, kind int, h1 long, h2 long, id long, n long, sig binary, keys array<long>"
+SALTS = 32  # shares of a bucket that is joined with its number of members
+_SKETCH = "field string, kind int, h1 long, h2 long, id long, sig binary, keys array<long>"
 
 
 def _one_permutation(rows: np.ndarray, h: np.ndarray, minima: np.ndarray) -> None:
@@ -44,6 +45,12 @@ def _densified(minima: np.ndarray) -> np.ndarray:
     return np.where(full, minima, mix(np.take_along_axis(minima, nxt % M, axis=1) + way * U(0xD6E8FEB86659FD93)))
 
 
+def _estimated(minima: np.ndarray) -> np.ndarray:
+    """Number of different windows by the means of the minima, within some 6
+    percent (one standard deviation) where it is above M."""
+    return M / np.maximum((minima.astype(np.float64) / 2.0**64).mean(axis=1), 1e-12)
+
+
 def _permutations(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """M minima of each row under M independent orders; for short texts."""
     cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -64,26 +71,33 @@ def _sketches(field: str, ids: np.ndarray, col: pa.Array, k: int, fold: bool, ba
         if not len(sets):
             continue
         minima = np.full((hi - lo, M), TOP, U)
-        short_h = np.zeros(0, U)
+        # of texts that may have few different windows: those windows, each once
+        few: dict[int, np.ndarray] = {}
         if hi - lo == 1:  # maybe one very long text: windows in slices
+            few[0] = np.zeros(0, U)
             for a in range(0, int(n[0]), 1_000_000):
                 h = window_hashes(c[a : min(a + 1_000_000, int(n[0])) + k - 1], k)
                 _one_permutation(np.zeros(len(h), np.int64), h, minima)
-                short_h = h if n[0] <= short else short_h
+                if len(few[0]) <= short:
+                    few[0] = np.unique(np.concatenate([few[0], h]))
         else:
             rows, at = window_index(own, k)
             h = window_hashes(c, k)[at]
             _one_permutation(rows, h, minima)
-            short_h = h[n[rows] <= short]
+            ends = np.cumsum(n)
+            for r in sets[(n[sets] <= 2 * short) | (_estimated(minima[sets]) <= 2 * short)]:
+                few[int(r)] = np.unique(h[ends[r] - n[r] : ends[r]])
+        # the kind of a sketch goes by the number of different windows, so that equal sets get the same
+        different = np.array([len(few[int(r)]) if int(r) in few else 2 * short for r in sets])
         digest = [hashlib.blake2b(c[own[r] : own[r + 1]].tobytes(), digest_size=16).digest() for r in sets]
         exact = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
         # texts of middling size get both kinds, so that any two of similar size share one
         for kind in (0, 1):
-            mine = n[sets] <= short if kind == 0 else n[sets] > low * short
+            mine = different <= short if kind == 0 else different > low * short
             if not mine.any():
                 continue
             r = sets[mine]
-            m = _permutations(short_h, n[r]) if kind == 0 else _densified(minima[r])
+            m = _permutations(np.concatenate([few[int(x)] for x in r]), different[mine]) if kind == 0 else _densified(minima[r])
             sig = np.packbits((m >> U(21) & U(1)).astype(np.uint8), axis=1, bitorder="little")
             step = (M // 2) // bands
             i = np.arange(bands) * step
@@ -92,11 +106,11 @@ def _sketches(field: str, ids: np.ndarray, col: pa.Array, k: int, fold: bool, ba
             rows_out = len(r)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([field] * rows_out), pa.array(np.full(rows_out, kind, np.int32)), pa.array(exact[mine, 0]), pa.array(exact[mine, 1]), pa.array(ids[lo + r]), pa.array(n[r].astype(np.int64)),
+                    pa.array([field] * rows_out), pa.array(np.full(rows_out, kind, np.int32)), pa.array(exact[mine, 0]), pa.array(exact[mine, 1]), pa.array(ids[lo + r]),
                     pa.array([s.tobytes() for s in sig], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(rows_out + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1))),
                 ],
-                names=["field", "kind", "h1", "h2", "id", "n", "sig", "keys"],
+                names=["field", "kind", "h1", "h2", "id", "sig", "keys"],
             )
 
 
@@ -160,8 +174,10 @@ class NearDuplicates:
         if large.limit(1).count():
             small = keyed.join(large, "bucket", "left_anti")
             n = F.ceil(F.col("m") / block).cast("int")
-            mine = F.pmod(F.xxhash64("id"), n).cast("int")
-            heavy = keyed.join(large, "bucket").withColumn("n", n).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            mine = F.pmod(F.xxhash64("id", "bucket"), n).cast("int")
+            # the members of one bucket may be very many: they are spread over salts
+            salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            heavy = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"]).withColumn("n", n).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
             lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
             parts.append(heavy.select("field", "id", "sig", F.xxhash64("bucket", lo, hi).alias("bucket"), F.when(lo == hi, -1).otherwise(F.col("mine")).alias("part")))
         parts.append(small.withColumn("part", F.lit(-1)))

@@ -234,6 +234,14 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _PIECES.format(which="length(base_values) > 4000", cut0=_CUT0) + "select block_id, piece_no, o + s piece_start, o + e - 1 piece_stop from p join b using (block_id)",
         "p4_piece_sizes": _PIECES.format(which="length(base_values) > 0", cut0=_CUT0) + "select chro_name, count(*) n_pieces, cast(sum(e - s) as bigint) letters, max(e - s) longest from p join b using (block_id) group by chro_name",
         "p5_found": _NEAR,
+        "p5_groups": f"""with recursive p as ({_NEAR}),
+t as (select 'read_text' field, read_id, upper(read_text) t from long_reads where length(read_text) >= 12 union all select 'qual_text', read_id, qual_text from long_reads where length(qual_text) >= 12),
+m as (select field, read_id, min(read_id) over (partition by field, t) class_id from t),
+l as (select distinct p.field, x.class_id a, y.class_id b from p join m x on x.field = p.field and x.read_id = read_id_a join m y on y.field = p.field and y.read_id = read_id_b where x.class_id <> y.class_id),
+u as (select field, a, b from l union select field, b, a from l),
+r as (select distinct field, class_id x, class_id g from m union select r.field, r.x, u.b from r join u on u.field = r.field and u.a = r.g),
+k as (select field, x, min(g) g from r group by all), n as (select field, a, count(*) n from u group by all)
+select m.field, m.read_id, m.class_id, coalesce(n.n, 0) n_links, k.g group_id from m join k on k.field = m.field and k.x = m.class_id left join n on n.field = m.field and n.a = m.class_id""",
         "p8_phrases": """
 with d as (select doc_id, regexp_replace(lower(strip_accents("text")), '[^\\p{L}]', '', 'g') t from documents where "text" is not null),
 w as (select item_id, list_filter(regexp_split_to_array(passage, '\\s+'), x -> x <> '') w from eval_items where passage is not null),

@@ -71,6 +71,23 @@ def test_pairs_match_brute_force(spark, seed, block):
     assert {g[1:] for g in got if g[0] == "qual"} == brute(rows, 2, False, 12, 0.6)
 
 
+def test_repeats_and_constant_texts_of_any_length(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in range(30):
+        unit = "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 3, 40, 200, 290, 420, 600])))
+        for times in rng.sample([2, 4, 7, 16, 40], 3):
+            t = unit * times
+            rows.append((len(rows), t, edited(rng, t, rng.choice([0, 1, 2])) if len(t) > 20 else t))
+    rows += [(500 + i, None, "I" * (200 * (i + 1))) for i in range(6)] + [(600, "ACGT" * 400_000, None), (601, "ACGT" * 5, None)]
+    df = spark.createDataFrame(rows, "rid long, seq string, qual string")
+    got = [tuple(r) for r in NearDuplicates(df, "rid", {"seq": True, "qual": False}).pairs().collect()]
+    for field, col in (("seq", 1), ("qual", 2)):
+        want = brute(rows, col, field == "seq", 12, 0.6)
+        own = {g[1:] for g in got if g[0] == field}
+        assert own <= want and len(own & want) >= 0.99 * len(want) and len(want) > 60
+
+
 def test_groups(spark):
     rows = corpus(5)
     df = spark.createDataFrame(rows, "rid long, seq string, qual string")
