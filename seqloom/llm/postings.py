@@ -42,17 +42,22 @@ _PLANE = np.array([_folded(c) for c in range(1 << 14)], np.uint32)
 _BYTE = _PLANE[:128].astype(np.uint8)
 
 
-def letter_streams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, offsets) of the letter streams of a string column; nulls have none."""
-    codes, offsets, _ = letters(col)
-    low = _lower(codes)
+def letter_places(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, offsets, places, raw) of the letter streams of a string column;
+    places: of each letter among the raw codes of all texts. Nulls have none."""
+    raw, offsets, _ = letters(col)
+    low = _lower(raw)
     if low.dtype != np.uint8 and (low == _SEVERAL).any():
-        codes, offsets, _ = letters(pc.utf8_normalize(col, "NFKD"))
-        low = _lower(codes)
+        raw, offsets, _ = letters(pc.utf8_normalize(col, "NFKD"))
+        low = _lower(raw)
         low[low == _SEVERAL] = 0
-    keep = low != 0
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return low[keep], before[offsets]
+    places = np.flatnonzero(low)
+    return low[places], np.searchsorted(places, offsets), places, raw
+
+
+def letter_streams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets) of the letter streams of a string column; nulls have none."""
+    return letter_places(col)[:2]
 
 
 def _lower(codes: np.ndarray) -> np.ndarray:

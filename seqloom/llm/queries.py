@@ -166,7 +166,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each source's documents that were cut."""
-    cut = _cut(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("reason") == "limit").alias("n_limit"), F.count_if(F.col("reason") == "broken").alias("n_broken"))
+    cut = _cut(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("reason") == "limit").alias("n_limit"), F.count_if(F.col("reason") != "limit").alias("n_broken"))
     docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n_docs"))
     zero = F.lit(0)
     return docs.join(cut, F.col("s").eqNullSafe(F.col("source")), "left").select(
