@@ -125,6 +125,16 @@ def p7_pack_8192(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir, 8192)
 
 
+def p7_letters_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing by letters must hold to, document by document: all its
+    letters placed, in as many pieces as needed, in no overfull container."""
+    docs = table(spark, sf_dir, "documents")
+    placed = materialize(pack(docs.select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")), 4096))
+    full = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
+    over = placed.join(full.filter("fill > 4096"), "container_id", "left_semi").select("id").distinct().withColumn("over", F.lit(True))
+    return placed.groupBy(F.col("id").alias("doc_id")).agg(F.sum("n_tokens").alias("letters"), F.count(F.lit(1)).alias("pieces")).join(over.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("fits", F.col("over").isNull()).drop("over")
+
+
 # 8: leaks
 
 
@@ -177,7 +187,7 @@ def p9_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         p2_length_percentiles, p2_run_from_days, p2_long_read_percentiles, p2_score_percentiles, p4_found, p4_piece_sizes, p5_found, p5_groups,
-        p6_found, p6_read_share, p7_pack_2048, p7_pack_512, p7_pack_8192, p8_found, p8_items, p8_phrases, p9_found, p9_source_share,
+        p6_found, p6_read_share, p7_pack_2048, p7_pack_512, p7_pack_8192, p7_letters_placed, p8_found, p8_items, p8_phrases, p9_found, p9_source_share,
     )
     return {f.__name__: f for f in own}
 
@@ -242,6 +252,7 @@ u as (select field, a, b from l union select field, b, a from l),
 r as (select distinct field, class_id x, class_id g from m union select r.field, r.x, u.b from r join u on u.field = r.field and u.a = r.g),
 k as (select field, x, min(g) g from r group by all), n as (select field, a, count(*) n from u group by all)
 select m.field, m.read_id, m.class_id, coalesce(n.n, 0) n_links, k.g group_id from m join k on k.field = m.field and k.x = m.class_id left join n on n.field = m.field and n.a = m.class_id""",
+        "p7_letters_placed": 'select doc_id, length("text") letters, (length("text") + 4095) // 4096 pieces, true fits from documents where length("text") > 0',
         "p8_phrases": """
 with d as (select doc_id, regexp_replace(lower(strip_accents("text")), '[^\\p{L}]', '', 'g') t from documents where "text" is not null),
 w as (select item_id, list_filter(regexp_split_to_array(passage, '\\s+'), x -> x <> '') w from eval_items where passage is not null),

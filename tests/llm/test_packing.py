@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm.packing import best_configuration, best_plan, pack, token_counts
+from seqloom.llm.packing import best_configuration, pack, solve, token_counts
 
 
 def test_knapsack_is_best():
@@ -42,15 +42,40 @@ def test_edges(spark):
     assert pack(df.limit(0), 10).collect() == []
 
 
-def test_plan_covers_counts():
-    sizes, counts = np.arange(1, 101), np.full(100, 1000)
-    plan = best_plan(sizes, counts, 100)
-    placed = np.zeros(101, int)
+HARD = {
+    "even": (np.arange(1, 101), np.full(100, 1000), 100, 1.001),
+    "lognormal 512": (None, None, 512, 1.003),
+    "lognormal 2048": (None, None, 2048, 1.001),
+    "over half": (np.arange(51, 90), np.full(39, 50), 100, 1.0),
+    "thirds": (np.array([34, 35, 33, 40, 41]), np.array([3000, 2000, 5000, 770, 900]), 100, 1.02),
+    "few": (np.array([15, 26, 34, 51, 67]), np.array([500, 77, 300, 200, 90]), 100, 1.01),
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_plan_is_near_its_bound(name):
+    sizes, counts, capacity, near = HARD[name]
+    if sizes is None:
+        n = np.random.default_rng(0).lognormal(6, 1, 20000).astype(int) % capacity
+        sizes, counts = np.unique(n[n > 0], return_counts=True)
+    plan, bound = solve(sizes, counts, capacity)
+    placed = dict.fromkeys(sizes.tolist(), 0)
     for s, t, n in plan:
-        placed[s] += t * n
-        assert (s * t).sum() <= 100
-    assert (placed[1:] == counts).all()
-    assert sum(n for _, _, n in plan) <= 1.01 * (sizes * counts).sum() / 100
+        assert (s * t).sum() <= capacity and n > 0
+        for x, y in zip(s.tolist(), t.tolist()):
+            placed[x] += y * n
+    assert list(placed.values()) == counts.tolist()
+    total = sum(n for *_, n in plan)
+    assert bound <= total <= near * bound + 1
+    assert bound >= np.ceil((sizes * counts).sum() / capacity)
+
+
+def test_bounds_that_the_room_taken_does_not_show():
+    # two never fit together
+    assert solve(np.array([51]), np.array([7]), 100)[1] == 7
+    # 34s and 35s fit by twos only; the room taken alone proves 69
+    assert 99 <= solve(np.array([34, 35]), np.array([100, 100]), 100)[1] <= 100
+    assert solve(np.array([100]), np.array([5]), 100)[1] == 5 and solve(np.zeros(0, int), np.zeros(0, int), 9) == ([], 0.0)
 
 
 def test_tokens(spark):
