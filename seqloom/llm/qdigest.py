@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from seqloom.functions.letters import letters, row_blocks
 
-BITS = 40
+BITS = 52  # node numbers stay exact as doubles
 PERMILLE = (10, 50, 100, 250, 500, 750, 900, 950, 990)
 
 
@@ -156,7 +156,7 @@ def _compressed(t: pa.Table, k: int, cap: int) -> pa.Table:
     return pa.Table.from_pandas(pd.concat(out), schema=t.schema, preserve_index=False)
 
 
-def join(digests: DataFrame, k: int = 4096, cap: int = 8192, fan: int = 0) -> DataFrame:
+def join(digests: DataFrame, k: int = 4096, cap: int = 8192, fan: int = 64) -> DataFrame:
     """One digest a group (g, part, node, n) from many, by addition of nodes.
 
     fan: the digests of a group are first joined in so many shares (by the

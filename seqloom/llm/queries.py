@@ -10,7 +10,7 @@ from seqloom.llm.leaks import corpus_index, exact_phrases, leaked
 from seqloom.llm.neardup import NearDuplicates
 from seqloom.llm.packing import pack, token_counts
 from seqloom.llm.spans import shared_spans
-from seqloom.llm.split import split_oversized
+from seqloom.llm.split import split_by_topic, split_oversized
 from seqloom.llm.truncation import truncated
 from seqloom.session import materialize
 
@@ -50,8 +50,25 @@ def p2_run_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_long_read_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = table(spark, sf_dir, "long_reads").filter("read_length >= 1").select(F.lit("run_id").alias("dim"), F.col("run_id").alias("key"), F.col("read_length").alias("v"))
-    return _read(qdigest.join(qdigest.build(reads, [F.col("dim"), F.col("key")], F.col("v"))))
+    """Lengths of long_reads per run and per sample."""
+    reads = table(spark, sf_dir, "long_reads").filter("read_length >= 1").select("run_id", "sample_id", F.col("read_length").alias("v"))
+    rows = _stacked(reads, {"run_id": F.col("run_id"), "sample_id": F.col("sample_id")})
+    return _read(qdigest.join(qdigest.build(rows, [F.col("dim"), F.col("key")], F.col("v"))))
+
+
+def p2_coarse_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of read_log per run from digests of some 64 nodes a level,
+    and whether each answer's rank is as near as its digest proves."""
+    log = table(spark, sf_dir, "read_log").filter("read_length >= 1").select("run_id", F.col("read_length").alias("v"))
+    answers = qdigest.percentiles(qdigest.join(qdigest.build(log, [F.col("run_id")], F.col("v"), 64, 64), 64, 64))
+    picks = [f"p{p:03d}" for p in qdigest.PERMILLE]
+    answers = answers.select(F.from_json("g", "run_id string").run_id.alias("r"), "n", "rank_error", *picks)
+    counts = [c for p in picks for c in (F.count_if(F.col("v") < F.col(p)).alias(f"{p}_below"), F.count_if(F.col("v") <= F.col(p)).alias(f"{p}_upto"))]
+    ranks = log.join(answers, F.col("run_id").eqNullSafe(F.col("r"))).groupBy("run_id", "n", "rank_error").agg(*counts)
+    want = {p: F.greatest(F.lit(1), F.ceil(F.lit(m) * F.col("n") / 1000)) for p, m in zip(picks, qdigest.PERMILLE)}
+    near = [F.struct(F.lit(m).alias("permille"), ((want[p] > F.col(f"{p}_below") - F.col("rank_error")) & (want[p] <= F.col(f"{p}_upto") + F.col("rank_error"))).alias("near_enough")) for p, m in zip(picks, qdigest.PERMILLE)]
+    small = F.col("rank_error") <= F.greatest(F.lit(1), F.col("n") / 4)
+    return ranks.select("run_id", "n", F.explode(F.array(*near)).alias("x"), small.alias("bound_is_small")).select("run_id", "n", "x.permille", "x.near_enough", "bound_is_small")
 
 
 def p2_score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +88,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_piece_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all blocks, oversized or not, by chromosome."""
     blocks = table(spark, sf_dir, "index_blocks")
-    pieces = split_oversized(blocks, "block_id", "base_values", 4000, 100, classes={"gap": "Nn"}, closing="gap", block=1, origin="start_base_offset", only_oversized=False)
+    pieces = split_oversized(blocks, "block_id", "base_values", 4000, 100, classes={"gap": "Nn"}, closing="gap", block=1, origin="start_base_offset", only_oversized=False, keep=["chro_name"])
     size = F.col("piece_stop") - F.col("piece_start") + 1
-    return pieces.join(blocks.select("block_id", "chro_name"), "block_id").groupBy("chro_name").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(size).alias("letters"), F.max(size).alias("longest"))
+    return pieces.groupBy("chro_name").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(size).alias("letters"), F.max(size).alias("longest"))
+
+
+def p4_topic_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of over 150 words in pieces of at most 150 that overlap by 15,
+    cut where the words change most."""
+    return split_by_topic(table(spark, sf_dir, "documents"), "doc_id", "text", 150, 15)
 
 
 # 5: near-duplicates
@@ -186,7 +209,7 @@ def p9_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (
-        p2_length_percentiles, p2_run_from_days, p2_long_read_percentiles, p2_score_percentiles, p4_found, p4_piece_sizes, p5_found, p5_groups,
+        p2_length_percentiles, p2_run_from_days, p2_long_read_percentiles, p2_coarse_within_bound, p2_score_percentiles, p4_found, p4_piece_sizes, p4_topic_pieces, p5_found, p5_groups,
         p6_found, p6_read_share, p7_pack_2048, p7_pack_512, p7_pack_8192, p7_letters_placed, p8_found, p8_items, p8_phrases, p9_found, p9_source_share,
     )
     return {f.__name__: f for f in own}
@@ -239,7 +262,10 @@ def oracle_sql() -> dict[str, str]:
             f"select 'run_id' dim, run_id \"key\", read_length v from {lengths} union all select 'sample_id', sample_id, read_length from {lengths} union all select 'day', cast(cast(logged_at as date) as varchar), read_length from {lengths}"
         ),
         "p2_run_from_days": _ranked(f"select 'run_id' dim, run_id \"key\", read_length v from {lengths}"),
-        "p2_long_read_percentiles": _ranked("select 'run_id' dim, run_id \"key\", read_length::bigint v from long_reads where read_length >= 1"),
+        "p2_long_read_percentiles": _ranked(
+            "select 'run_id' dim, run_id \"key\", read_length::bigint v from long_reads where read_length >= 1 union all select 'sample_id', sample_id, read_length from long_reads where read_length >= 1"
+        ),
+        "p2_coarse_within_bound": f"with r as (select run_id, count(*) n from {lengths} group by run_id) select run_id, n, p::int permille, true near_enough, true bound_is_small from r, (select unnest({list(qdigest.PERMILLE)}) p)",
         "p2_score_percentiles": _ranked("select 'run_id' dim, run_id \"key\", (unicode(substr(qual_text, i, 1)) - 33)::bigint v from (select run_id, qual_text, unnest(range(1, length(qual_text) + 1)) i from long_reads where qual_text is not null)"),
         "p4_found": _PIECES.format(which="length(base_values) > 4000", cut0=_CUT0) + "select block_id, piece_no, o + s piece_start, o + e - 1 piece_stop from p join b using (block_id)",
         "p4_piece_sizes": _PIECES.format(which="length(base_values) > 0", cut0=_CUT0) + "select chro_name, count(*) n_pieces, cast(sum(e - s) as bigint) letters, max(e - s) longest from p join b using (block_id) group by chro_name",

@@ -9,10 +9,11 @@ There the suffixes are sorted, their common prefixes give the tree's internal
 nodes, and nodes that are deep enough together with the letters before them
 give the repeated windows.
 
-A prefix that a bounded sample of the records shows to be held by very many
-suffixes is lengthened: its suffixes are partitioned by whole windows of
-``length`` letters instead, whose holders are counted before the shuffle.
-The sample decides only which of the two exact ways a prefix goes.
+The suffixes of every prefix are counted over all records, combined before
+the shuffle. A prefix held by more than ``heavy`` suffixes is lengthened: its
+suffixes are partitioned by whole windows of ``length`` letters instead, whose
+holders are counted before the shuffle as well. So no group is larger than
+``heavy`` suffixes. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -155,24 +156,40 @@ def _stretches(ids: np.ndarray, pos: np.ndarray, marks: np.ndarray, length: int)
     return pd.DataFrame({"id": ids[i], "a": pos[i] - (after - 1) + 1, "z": pos[i] - first + length})
 
 
-def shared_spans(df: DataFrame, id: str, text: str, length: int = 50, k: int = 16, heavy: int = 50_000, sample_rows: int = 20_000) -> DataFrame:
+_MAP_BITS = 24
+
+
+def _bit_map(hot: DataFrame) -> np.ndarray:
+    """The prefixes of ``hot`` as a map of 2**24 bits, so at most 2**18 words
+    come to the driver. A prefix that shares a bit with one of them goes the
+    same way, which is exact too."""
+    bit = F.pmod("h", F.lit(1 << _MAP_BITS))
+    words = hot.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("mask")).groupBy("w").agg(F.bit_or("mask").alias("mask"))
+    out = np.zeros(1 << (_MAP_BITS - 6), np.int64)
+    for r in words.collect():
+        out[r.w] = r["mask"]
+    return out
+
+
+def _held(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h & ((1 << _MAP_BITS) - 1)
+    return (hot[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def shared_spans(df: DataFrame, id: str, text: str, length: int = 50, k: int = 16, heavy: int = 50_000) -> DataFrame:
     """Maximal stretches of every record that consist of positions in some
     window of ``length`` letters also standing in the text of another record.
 
     Result: read_id, span_start, span_stop (1-based, inclusive, in letters).
-    Letters are compared as stored. heavy: a prefix of about so many suffixes
-    is lengthened to whole windows; ``sample_rows`` bounds the sample that
-    tells. Null texts and texts shorter than ``length`` have no spans; texts
+    Letters are compared as stored. heavy: a prefix of more suffixes is
+    lengthened to whole windows. Null texts and texts shorter than ``length`` have no spans; texts
     of any length are taken whole. Repeated rows under other ids are other
     records. Ids are unique; rows of the same id count as one record. Extra
     columns are not read. An empty table gives an empty result.
     """
     w = length - k + 1
     rows = df.select(df[id].cast("long").alias("id"), df[text].alias("t")).filter(F.length("t") >= length)
-    total = df.count()
-    share = min(1.0, sample_rows / max(1, total))
-
-    def each(batches: Iterator[pa.RecordBatch], slow: bool):
+    def each(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             codes, offsets, _ = letters(batch.column(1))
@@ -181,21 +198,28 @@ def shared_spans(df: DataFrame, id: str, text: str, length: int = 50, k: int = 1
                 row = np.searchsorted(own, at, "right") - 1
                 yield ids[lo + row], at - own[row] + base, at, row, h.astype(np.int64), c, own
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        seen = [h for _, _, _, _, h, _, _ in each(batches, False)]
-        h, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
-        yield pd.DataFrame({"h": h[n > 1], "n": n[n > 1].astype(np.int64)})
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, _, _, _, h, _, _ in each(batches):
+            held.append(h)
+            n += len(h)
+            if n > 4_000_000:
+                yield counted(held)
+                held, n = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    # at most share * all suffixes / floor prefixes can reach the floor
-    floor = max(5, int(heavy * share))
-    sampled = rows if share >= 1 else rows.sample(share, seed=7)
-    counts = sampled.mapInArrow(lambda it: (pa.RecordBatch.from_pandas(f, preserve_index=False) for f in tally(it)), "h long, n long")
-    hot = np.sort(np.array([r.h for r in counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).orderBy(F.desc("n")).limit(100_000).collect()], dtype=np.int64))
+    hot = _bit_map(rows.mapInArrow(tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > heavy))
+    any_hot = bool(hot.any())
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, pos, at, row, h, c, own in each(batches, False):
-            if len(hot):
-                keep = ~np.isin(h, hot)
+        for ids, pos, at, row, h, c, own in each(batches):
+            if any_hot:
+                keep = ~_held(hot, h)
                 ids, pos, at, row, h = ids[keep], pos[keep], at[keep], row[keep], h[keep]
             padded = np.pad(c, (w - 1, length))
             for lo in range(0, len(at), 50_000):
@@ -236,7 +260,7 @@ def shared_spans(df: DataFrame, id: str, text: str, length: int = 50, k: int = 1
             yield from solve(held)
 
     found = rows.mapInArrow(suffixes, "h long, id long, pos long, ctx binary").repartition("h").sortWithinPartitions("h").mapInArrow(trees, "id long, a long, z long")
-    if len(hot):
+    if any_hot:
         found = found.unionByName(_heavy_windows(rows, each, hot, length, w))
     out = merge_intervals(found, ["id"], "a", "z").filter("seg_kind = 'period'")
     return out.select(F.col("id").alias("read_id"), F.col("seg_start").alias("span_start"), F.col("seg_stop").alias("span_stop"))
@@ -246,8 +270,8 @@ def _heavy_windows(rows: DataFrame, each, hot: np.ndarray, length: int, w: int)
     """Shared windows around the suffixes of hot prefixes, by whole windows."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, at, row, h, c, own in each(batches, True):
-            mine = np.isin(h, hot)
+        for ids, _, at, row, h, c, own in each(batches):
+            mine = _held(hot, h)
             if not mine.any():
                 continue
             start = (at[mine, None] - np.arange(w)).reshape(-1)
@@ -262,6 +286,6 @@ def _heavy_windows(rows: DataFrame, each, hot: np.ndarray, length: int, w: int)
     long = rows.mapInArrow(windows, "h1 long, h2 long, id long, s long")
     shared = long.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("h1", "h2")
     # the holders of one window may be very many: its hash is spread over salts
-    salts = 16
+    salts = 32
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return long.withColumn("salt", F.pmod("id", F.lit(salts)).cast("int")).join(salted, ["h1", "h2", "salt"]).select("id", (F.col("s") + 1).alias("a"), (F.col("s") + length).alias("z"))

@@ -41,6 +41,21 @@ def test_bound_holds_after_joins(seed, k, parts):
     assert len(n) <= 2 * k * q.BITS
 
 
+@pytest.mark.parametrize("fan", [0, 3, 64])
+def test_compressed_digests_in_spark(spark, fan):
+    rng = np.random.default_rng(5)
+    values = {g: np.concatenate([rng.lognormal(7, 2, 6000).astype(np.int64), np.full(900, 31), rng.integers(1 << 45, 1 << 51, 300)]) for g in ("a", "b")}
+    rows = [(g, int(v)) for g, own in values.items() for v in own]
+    df = spark.createDataFrame(rows, "key string, v long").repartition(6)
+    for r in q.percentiles(q.join(q.build(df, [F.col("key")], F.col("v"), 64, 64), 64, 64, fan)).collect():
+        own = np.sort(values[r.g[8]])
+        assert r.n == len(own) and 0 < r.rank_error < 0.25 * len(own)
+        for p in q.PERMILLE:
+            want = max(1, (p * len(own) + 999) // 1000)
+            lo, hi = np.searchsorted(own, r[f"p{p:03d}"], "left") + 1, np.searchsorted(own, r[f"p{p:03d}"], "right")
+            assert lo - r.rank_error <= want <= hi + r.rank_error
+
+
 def test_small_digest_is_exact():
     values = np.array([5, 1, 1, 9, 3])
     _, answers, err = q.answer(*q.compress(*leaves(values), 10, 100), (1, 500, 1000))
@@ -48,7 +63,7 @@ def test_small_digest_is_exact():
 
 
 def test_edges_in_spark(spark):
-    rows = [("a", 1), ("a", 3), ("a", None), ("a", -4), (None, 7), (None, 7), ("", 1 << 50)]
+    rows = [("a", 1), ("a", 3), ("a", None), ("a", -4), (None, 7), (None, 7), ("", 1 << 60)]
     df = spark.createDataFrame(rows, "key string, v long").withColumn("g", F.lit(1)).withColumn("node", F.lit(2)).withColumn("n", F.lit(3))
     out = {r.g: r for r in q.percentiles(q.join(q.build(df, [F.col("key")], F.col("v")), fan=3), (500,)).collect()}
     assert {g: (r.n, r.p500) for g, r in out.items()} == {'{"key":"a"}': (2, 1), '{"key":null}': (2, 7), '{"key":""}': (1, (1 << q.BITS) - 1)}

@@ -1,11 +1,12 @@
 """Pieces against a letter-by-letter version, and their round trip."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqloom.llm.split import split_oversized, valleys
+from seqloom.llm.split import split_by_topic, split_oversized, term_valleys, valleys
 
 
 def brute(text, limit, overlap):
@@ -59,3 +60,39 @@ def test_wide_blocks_find_the_change_of_topic():
     seq = np.concatenate([rng.integers(0, 2, 200), rng.integers(2, 4, 200)])
     places, depths = valleys(seq, 20, 4, None)
     assert places[np.argmax(depths)] == 200 and depths.max() > 0.99
+
+
+def plain_depth(terms, b, block):
+    left, right = Counter(terms[max(0, b - block) : b]), Counter(terms[b : b + block])
+    dot = sum(n * right[t] for t, n in left.items())
+    return 1 - dot / (sum(n * n for n in left.values()) * sum(n * n for n in right.values())) ** 0.5
+
+
+def test_term_valleys_match_plain_cosines():
+    rng = np.random.default_rng(7)
+    for n, k, block in ((2, 1, 3), (50, 4, 5), (90, 30, 20), (40, 1, 60), (1, 1, 2)):
+        terms = rng.integers(0, k, n)
+        places, depths = term_valleys(terms, block)
+        assert list(places) == list(range(1, n))
+        assert np.allclose(depths, [plain_depth(terms.tolist(), b, block) for b in places])
+
+
+def test_topics_in_spark(spark):
+    rng = random.Random(9)
+    topics = [[f"w{t}x{i}" for i in range(30)] for t in range(6)]
+    texts, changes = [], []
+    for _ in range(5):
+        sizes = [rng.randrange(60, 90) for _ in topics]
+        texts.append(" ".join(rng.choice(own).upper() if rng.random() < 0.3 else rng.choice(own) for own, n in zip(topics, sizes) for _ in range(n)))
+        changes.append(set(np.cumsum(sizes).tolist()))
+    rows = [(i, "  " + t.replace(" ", "\n ", 3)) for i, t in enumerate(texts)] + [(10, None), (11, ""), (12, "a " * 150), (13, "a " * 151)]
+    df = spark.createDataFrame(rows, "doc long, t string").withColumn("item", F.lit(1))
+    got = [tuple(r) for r in split_by_topic(df, "doc", "t", 150, 15).collect()]
+    assert split_by_topic(df.limit(0), "doc", "t").collect() == []
+    for i, text in [*enumerate(texts), (13, "a " * 151)]:
+        own = sorted(g[1:] for g in got if g[0] == i)
+        assert [g[0] for g in own] == list(range(1, len(own) + 1)) and own[0][1] == 1 and own[-1][2] == len(text.split())
+        assert all(z - a < 150 for _, a, z in own) and all(b == z - 14 for (_, _, z), (_, b, _) in zip(own, own[1:]))
+        if i < 5:
+            assert sum(any(abs(z - c) <= 2 for c in changes[i]) for _, _, z in own[:-1]) >= len(own) - 2
+    assert not {g[0] for g in got} & {10, 11, 12}
