@@ -203,15 +203,29 @@ def gene_lengths(features: DataFrame) -> DataFrame:
     return features.withColumn("fresh", fresh).groupBy("gene").agg(F.sum("fresh").cast("long").alias("length"))
 
 
-def resolve_chromosomes(df: DataFrame, chr_col: str, names: DataFrame, alias: DataFrame, out: str = "chr") -> DataFrame:
-    """Adds ``out``: the annotation's name of each chromosome, by the first of
-    exact name, alias, name without ``chr``, and ``chr`` before a name of at
-    most two letters; null if none is known. names: one column; alias:
-    annotation_chr, read_chr. Only the distinct names are joined."""
-    known = names.toDF("n").distinct()
-    own = df.select(F.col(chr_col).alias("own")).filter("own is not null").distinct()
-    tries = own.join(alias.select(F.col("read_chr").alias("own"), F.col("annotation_chr").alias("alias")), "own", "left").select(
-        "own", F.posexplode(F.array("own", "alias", F.when(F.col("own").startswith("chr"), F.expr("substring(own, 4)")), F.when(F.length("own") <= 2, F.concat(F.lit("chr"), "own"))))
-    )
-    found = tries.join(known, F.col("col") == F.col("n")).groupBy("own").agg(F.min_by("col", "pos").alias(out))
-    return df.join(found, df[chr_col] == F.col("own"), "left").drop("own")
+MOST_NAMES = 100_000  # names of chromosomes that are sent to all tasks; with more the names are joined
+
+
+def chromosome_names(names: DataFrame, alias: DataFrame) -> DataFrame:
+    """(read_name, chr): every spelling that stands for a name of the
+    annotation, made from the annotation's names and the aliases alone: the
+    name itself, its aliases, the name after ``chr``, and a name of at most two
+    letters without its ``chr``; of several meanings the first of these."""
+    known = names.toDF("n").filter("n is not null").distinct()
+    bare = F.expr("substring(n, 4)")
+    spelt = known.select("n", F.posexplode(F.array("n", F.lit(None), F.concat(F.lit("chr"), "n"), F.when(F.col("n").startswith("chr") & (F.length(bare) <= 2), bare))))
+    by_alias = alias.select(F.col("annotation_chr").alias("n"), F.lit(1).alias("pos"), F.col("read_chr").alias("col")).join(known, "n", "left_semi")
+    return spelt.unionByName(by_alias).filter("col is not null").groupBy(F.col("col").alias("read_name")).agg(F.min_by("n", F.struct("pos", "n")).alias("chr"))
+
+
+def resolve_chromosomes(df: DataFrame, columns: dict[str, str], names: DataFrame, alias: DataFrame) -> DataFrame:
+    """Adds for each column of chromosome names (key) the annotation's name
+    (value), null if none is known. names: one column; alias: annotation_chr,
+    read_chr. The map of names is sent to all tasks if it is small."""
+    known = chromosome_names(names, alias)
+    few = known.limit(MOST_NAMES + 1).collect()
+    if len(few) <= MOST_NAMES:
+        known = F.broadcast(df.sparkSession.createDataFrame(few, "read_name string, chr string"))
+    for column, out in columns.items():
+        df = df.join(known.select(F.col("read_name").alias(f"_{out}"), F.col("chr").alias(out)), df[column] == F.col(f"_{out}"), "left").drop(f"_{out}")
+    return df

@@ -13,25 +13,24 @@ def fragment_name(qname: Column | str) -> Column:
     return F.substring_index(qname, "/", 1)
 
 
-def pair_key(df: DataFrame) -> list[Column]:
+def pair_key(df: DataFrame, chr: str = "rname", mate_chr: str | None = None) -> list[Column]:
     """Columns that both mates of one reported place share: the name, the
-    places of mate 1 and mate 2 (null if unmapped) and the hit number."""
-    own_chr = F.when(~has("flag", UNMAPPED), F.col("rname"))
-    own_pos = F.when(~has("flag", UNMAPPED), F.col("pos"))
-    mate_chr = F.when(~has("flag", 0x8), F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")))
-    mate_pos = F.when(~has("flag", 0x8), F.col("pnext"))
+    chromosomes and places of mate 1 and mate 2 (null if unmapped) and the hit
+    number. chr, mate_chr: columns of one naming for both mates; by default
+    rname and rnext as they are."""
+    here, there = ~has("flag", UNMAPPED), ~has("flag", 0x8)
+    other = F.col(mate_chr) if mate_chr else F.when(F.col("rnext") == "=", F.col(chr)).otherwise(F.col("rnext"))
+    own = {"chr": F.when(here, F.col(chr)), "pos": F.when(here, F.col("pos"))}
+    mate = {"chr": F.when(there, other), "pos": F.when(there, F.col("pnext"))}
     first = has("flag", FIRST)
-    return [
-        fragment_name("qname").alias("fragment"),
-        F.when(first, own_pos).otherwise(mate_pos).alias("pos1"),
-        F.when(first, mate_pos).otherwise(own_pos).alias("pos2"),
-        F.coalesce(tag("tags", "HI"), F.lit("")).alias("hit"),
-    ]
+    sides = [f(c) for c in ("chr", "pos") for f in (lambda c: F.when(first, own[c]).otherwise(mate[c]).alias(f"{c}1"), lambda c: F.when(first, mate[c]).otherwise(own[c]).alias(f"{c}2"))]
+    return [fragment_name("qname").alias("fragment"), *sides, F.coalesce(tag("tags", "HI"), F.lit("")).alias("hit")]
 
 
-def pair_mates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a fragment place: (fragment, pos1, pos2, hit, r1, r2), r1 and r2
-    being structs of ``columns`` of the first and second mate, null if absent.
+def pair_mates(df: DataFrame, columns: list[str], chr: str = "rname", mate_chr: str | None = None) -> DataFrame:
+    """One row a fragment place: (fragment, chr1, chr2, pos1, pos2, hit, r1,
+    r2), r1 and r2 being structs of ``columns`` of the first and second mate,
+    null if absent.
 
     A full outer join of first and second mates by one grouping: partial
     aggregates are made before the shuffle. Of rows given twice the one of
@@ -39,7 +38,7 @@ def pair_mates(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     row = F.struct(*columns)
     second = has("flag", PAIRED) & has("flag", SECOND)
-    return df.groupBy(*pair_key(df)).agg(F.min(F.when(~second, row)).alias("r1"), F.min(F.when(second, row)).alias("r2"))
+    return df.groupBy(*pair_key(df, chr, mate_chr)).agg(F.min(F.when(~second, row)).alias("r1"), F.min(F.when(second, row)).alias("r2"))
 
 
 def with_dummies(pairs: DataFrame, flag: str = "flag") -> DataFrame:

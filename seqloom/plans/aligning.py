@@ -100,7 +100,7 @@ def fn5_fragment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn22_template_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pair_mates(table(spark, sf_dir, "alignments").filter(~fl.has("flag", fl.UNMAPPED)), ["row_id", "rname", "pos", "cigar"]).filter("r1.rname = r2.rname")
+    p = pair_mates(reads(spark, sf_dir).filter(~fl.has("flag", fl.UNMAPPED)), ["row_id", "own_chr", "pos", "cigar"], "own_chr", "mate_chr").filter("r1.own_chr = r2.own_chr")
     return p.select(F.col("r1.row_id").alias("row_id"), al.template_length(F.col("r1.pos"), reference_span(F.col("r1.cigar")), F.col("r2.pos"), reference_span(F.col("r2.cigar"))).alias("template_length"))
 
 
@@ -134,7 +134,7 @@ select chr, "left", "right", n from jc where not exists (select 1 from kn where
         "fn5_fragment_lengths": frags
         + f""", fx as (select frag, unnest([i1, i2]) row_id from fr), fs as (select fx.frag, case when (select count(distinct al2.chr) from fx f2 join al al2 on al2.row_id = f2.row_id where f2.frag = fx.frag) > 1 then fx.row_id else 0 end part, s.a, s.z from fx join secs s on s.row_id = fx.row_id),
 un as ({union('select * from fs', 'frag, part')}) select fr.frag, cast(coalesce(sum(n), 0) as bigint) bases from fr left join un on un.frag = fr.frag group by fr.frag""",
-        "fn22_template_lengths": _PAIRS.replace("from alignments)", "from alignments where flag & 4 = 0)")
-        + r""", sp as (select row_id, rname, pos, coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\d+)[M=XDN]', 1), lambda x: x::bigint)), 0) span from alignments)
-select a.row_id, cast(case when a.pos <= b.pos then greatest(a.pos + a.span - 1, b.pos + b.span - 1) - a.pos + 1 else b.pos - greatest(a.pos + a.span - 1, b.pos + b.span - 1) - 1 end as bigint) template_length from p join sp a on a.row_id = first_row join sp b on b.row_id = second_row where a.rname = b.rname""",
+        "fn22_template_lengths": _PAIRS.replace("from al),\np as", "from al where flag & 4 = 0),\np as")
+        + r""", sp as (select row_id, own_chr, pos, coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\d+)[M=XDN]', 1), lambda x: x::bigint)), 0) span from al)
+select a.row_id, cast(case when a.pos <= b.pos then greatest(a.pos + a.span - 1, b.pos + b.span - 1) - a.pos + 1 else b.pos - greatest(a.pos + a.span - 1, b.pos + b.span - 1) - 1 end as bigint) template_length from p join sp a on a.row_id = first_row join sp b on b.row_id = second_row where a.own_chr = b.own_chr""",
     }

@@ -16,19 +16,24 @@ COLUMNS = ["row_id", "flag", "chr", "pos", "mapq", "cigar", "nh", "tlen", "secti
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """alignments with chr (the annotation's name), nh and sections."""
+    """alignments with chr (the annotation's name), own_chr and mate_chr (the
+    same of both mates, as given where it isn't known), nh and sections."""
     al = table(spark, sf_dir, "alignments").select("row_id", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "tags", "sample_id")
-    known = asg.resolve_chromosomes(al, "rname", table(spark, sf_dir, "genes").select("chro_name"), table(spark, sf_dir, "chr_alias"))
-    return known.withColumn("nh", fl.hits("tags")).withColumn("sections", sections("pos", "cigar"))
+    known = asg.resolve_chromosomes(al, {"rname": "chr", "rnext": "_mate"}, table(spark, sf_dir, "genes").select("chro_name"), table(spark, sf_dir, "chr_alias"))
+    own = F.coalesce("chr", "rname")
+    mate = F.when(F.col("rnext") == "=", own).otherwise(F.coalesce("_mate", "rnext"))
+    return known.withColumn("own_chr", own).withColumn("mate_chr", mate).drop("_mate").withColumn("nh", fl.hits("tags")).withColumn("sections", sections("pos", "cigar"))
+
+
+def pairs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    return pair_mates(reads(spark, sf_dir), columns, "own_chr", "mate_chr")
 
 
 def fragments(spark: SparkSession, sf_dir: str, paired: bool) -> DataFrame:
-    rows = reads(spark, sf_dir)
     if not paired:
         r = F.struct(*COLUMNS)
-        return rows.select(F.col("row_id").alias("frag"), r.alias("r1"), F.when(F.lit(False), r).alias("r2"))
-    pairs = pair_mates(rows, COLUMNS)
-    return pairs.select(F.least("r1.row_id", "r2.row_id").alias("frag"), "r1", "r2")
+        return reads(spark, sf_dir).select(F.col("row_id").alias("frag"), r.alias("r1"), F.when(F.lit(False), r).alias("r2"))
+    return pairs(spark, sf_dir, COLUMNS).select(F.least("r1.row_id", "r2.row_id").alias("frag"), "r1", "r2")
 
 
 def gene_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +98,26 @@ def k5_read_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k1_gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gene, union length of its exons, and counts per sample side by side."""
+    """Gene, union length of its exons, and counts of every sample there is
+    side by side; reads without a sample are in none of the columns."""
     feats = exon_features(spark, sf_dir)
     a = asg.assign(fragments(spark, sf_dir, False), feats, Options(allow_overlap=True))
-    samples = reads(spark, sf_dir).select(F.col("row_id").alias("frag"), "sample_id")
+    samples = table(spark, sf_dir, "alignments").select(F.col("row_id").alias("frag"), "sample_id")
+    names = _samples(samples)
     per = a.filter("status = 'Assigned'").join(samples, "frag").select(F.explode("targets").alias("gene"), "sample_id", "increment")
-    wide = per.groupBy("gene").pivot("sample_id", ["ctl_a", "ctl_b", "trt_a"]).agg(F.sum("increment"))
-    return asg.gene_lengths(feats).join(wide, "gene", "left").select("gene", "length", *[(F.coalesce(c, F.lit(0)) / asg.UNIT).cast("long").alias(c) for c in ("ctl_a", "ctl_b", "trt_a")])
+    wide = per.groupBy("gene").pivot("sample_id", names).agg(F.sum("increment"))
+    return asg.gene_lengths(feats).join(wide, "gene", "left").select("gene", "length", *[(F.coalesce(c, F.lit(0)) / asg.UNIT).cast("long").alias(c) for c in names])
+
+
+MOST_SAMPLES = 10_000
+
+
+def _samples(df: DataFrame) -> list[str]:
+    """The samples there are, in order; each becomes a column."""
+    names = [r.sample_id for r in df.select("sample_id").filter("sample_id is not null").distinct().limit(MOST_SAMPLES + 1).collect()]
+    if len(names) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples: take k1_sample_counts, which has a row a sample")
+    return sorted(names)
 
 
 def k1_sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,13 +159,13 @@ def fn12_chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mates brought together; a missing one is null."""
-    p = pair_mates(table(spark, sf_dir, "alignments"), ["row_id", "flag"])
+    p = pairs(spark, sf_dir, ["row_id", "flag"])
     return p.select("fragment", "hit", F.col("r1.row_id").alias("first_row"), F.col("r2.row_id").alias("second_row"))
 
 
 def u1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mates with dummies for missing ones, counted by flags."""
-    p = with_dummies(pair_mates(table(spark, sf_dir, "alignments"), ["row_id", "flag"]))
+    p = with_dummies(pairs(spark, sf_dir, ["row_id", "flag"]))
     return p.groupBy(F.col("r1.flag").alias("flag1"), F.col("r2.flag").alias("flag2"), F.col("r1.row_id").isNull().alias("dummy1"), F.col("r2.row_id").isNull().alias("dummy2")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,11 +206,11 @@ def queries() -> dict:
 
 _READS = r"""
 with recursive names as (select distinct chro_name n from genes where chro_name is not null),
-own as (select distinct rname from alignments where rname is not null),
+own as (select rname from alignments where rname is not null union select rnext from alignments where rnext is not null),
 res as (select rname, coalesce(
   (select n from names where n = rname), (select n from names join chr_alias c on n = c.annotation_chr where c.read_chr = rname),
   (select n from names where rname like 'chr%' and n = substr(rname, 4)), (select n from names where length(rname) <= 2 and n = 'chr' || rname)) chr from own),
-al as (select a.*, r.chr, coalesce(try_cast(nullif(regexp_extract(tags, '(?:^|\t)NH:[A-Za-z]:([^\t]*)', 1), '') as int), 1) nh, split_part(qname, '/', 1) fragment from alignments a left join res r using (rname)),
+al as (select a.*, r.chr, coalesce(r.chr, a.rname) own_chr, case when a.rnext = '=' then coalesce(r.chr, a.rname) else coalesce(r2.chr, a.rnext) end mate_chr, coalesce(try_cast(nullif(regexp_extract(tags, '(?:^|\t)NH:[A-Za-z]:([^\t]*)', 1), '') as int), 1) nh, split_part(qname, '/', 1) fragment from alignments a left join res r using (rname) left join res r2 on r2.rname = a.rnext),
 ops as (select row_id, pos, unnest(regexp_extract_all(cigar, '(\d+)[MIDNSHP=X]', 1))::bigint n, unnest(regexp_extract_all(cigar, '\d+([MIDNSHP=X])', 1)) op, generate_subscripts(regexp_extract_all(cigar, '(\d+)[MIDNSHP=X]', 1), 1) i from al),
 cum as (select *, coalesce(sum(case when op in ('M', '=', 'X', 'D', 'N') then n end) over w, 0) ref, coalesce(sum(case when op in ('M', '=', 'X', 'I', 'S') then n end) over w, 0) rd,
   coalesce(sum(case when op in ('I', 'D', 'N') then 1 end) over w, 0) sec, last_value(case when op in ('I', 'D', 'N') then op end ignore nulls) over w bef from ops window w as (partition by row_id order by i rows between unbounded preceding and 1 preceding)),
@@ -201,6 +219,10 @@ secs as (select * from (select *, row_number() over (partition by row_id order b
 """
 
 
+# The samples of the test tables, each a column of k1_gene_table.
+SAMPLES = ("ctl_a", "ctl_b", "lib07", "lib09", "pool_x", "qc_mix", "trt_a", "trt_b")
+
+
 def _assign_sql(name: str) -> str:
     kind, o = VARIANTS[name]
     feats = (
@@ -211,7 +233,7 @@ def _assign_sql(name: str) -> str:
     if o.paired:
         frag = """
 keyed as (select row_id, fragment, flag & 128 <> 0 and flag & 1 <> 0 two, coalesce(nullif(regexp_extract(tags, '(?:^|\\t)HI:[A-Za-z]:([^\\t]*)', 1), ''), '') hit,
-  case when flag & 4 = 0 then pos end own, case when flag & 8 = 0 then pnext end mate, flag & 64 <> 0 one from al),
+  case when flag & 4 = 0 then {'c': own_chr, 'p': pos} end own, case when flag & 8 = 0 then {'c': mate_chr, 'p': pnext} end mate, flag & 64 <> 0 one from al),
 fr as (select least(min(row_id) filter (not two), min(row_id) filter (two)) frag, min(row_id) filter (not two) i1, min(row_id) filter (two) i2 from keyed group by fragment, hit, case when one then own else mate end, case when one then mate else own end),
 """
     else:
@@ -292,11 +314,14 @@ _STATUS = "select s.status, count(d.frag) n from (select unnest([{}]) status) s
 _LENGTHS = """
 select gene_name gene, cast(sum(greatest(0, exon_stop - greatest(exon_start - 1, coalesce(p, exon_start - 1)))) as bigint) length from (
   select *, max(exon_stop) over (partition by gene_name, chro_name, is_negative_strand order by exon_start, exon_stop rows between unbounded preceding and 1 preceding) p from tx_exons where exon_start <= exon_stop and chro_name is not null) group by gene_name"""
-_PAIRS = r"""
-with k as (select *, split_part(qname, '/', 1) fragment, flag & 128 <> 0 and flag & 1 <> 0 two, coalesce(nullif(regexp_extract(tags, '(?:^|\t)HI:[A-Za-z]:([^\t]*)', 1), ''), '') hit,
-  case when flag & 4 = 0 then pos end own, case when flag & 8 = 0 then pnext end mate, flag & 64 <> 0 one from alignments),
+_PAIRS = (
+    _READS
+    + r""",
+k as (select *, flag & 128 <> 0 and flag & 1 <> 0 two, coalesce(nullif(regexp_extract(tags, '(?:^|\t)HI:[A-Za-z]:([^\t]*)', 1), ''), '') hit,
+  case when flag & 4 = 0 then {'c': own_chr, 'p': pos} end own, case when flag & 8 = 0 then {'c': mate_chr, 'p': pnext} end mate, flag & 64 <> 0 one from al),
 p as (select fragment, hit, min(row_id) filter (not two) first_row, min(row_id) filter (two) second_row from k group by fragment, hit, case when one then own else mate end, case when one then mate else own end)
 """
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -315,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
         + "select d.frag, st status, case when st = 'Assigned' then k else 0 end n_targets, coalesce(case when st = 'Assigned' then (select string_agg(target, ',' order by target) from best b where b.frag = d.frag and b.score = b.top) end, 'NA') target_list from done d",
         "k1_gene_table": _assign_sql("a1_exon_counts").replace("f.fid target", "f.gene target")
         + f", cnt as (select target gene, m.sample_id, count(*) c from done d join best b on d.frag = b.frag and b.score = b.top join al m on m.row_id = d.frag where st = 'Assigned' group by all), len2 as ({_LENGTHS}) select l.gene, l.length, "
-        + ", ".join(f"cast(coalesce(sum(c) filter (sample_id = '{s}'), 0) as bigint) {s}" for s in ("ctl_a", "ctl_b", "trt_a"))
+        + ", ".join(f"cast(coalesce(sum(c) filter (sample_id = '{s}'), 0) as bigint) {s}" for s in SAMPLES)
         + " from len2 l left join cnt using (gene) group by l.gene, l.length",
         "k1_sample_counts": _assign_sql("a1_exon_counts").replace("f.fid target", "f.gene target")
         + f""", cnt as (select target gene, m.sample_id, count(*) c from done d join best b on d.frag = b.frag and b.score = b.top join al m on m.row_id = d.frag where st = 'Assigned' group by all), len2 as ({_LENGTHS}), sm as (select distinct sample_id from alignments)

@@ -106,11 +106,6 @@ def _variant_rows(al: DataFrame) -> DataFrame:
     return al.select(F.lit("SNP").alias("kind"), F.col("rname").alias("chr"), F.floor(F.col("pos") / 1_000_000).alias("pos"), F.substring("cigar", 1, 1).alias("ref"), F.substring("cigar", -1, 1).alias("alt"), F.col("mapq").alias("quality"), F.col("sample_id").alias("file"))
 
 
-def jk_shared_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants that the three samples ctl_a, ctl_b and trt_a share."""
-    return pl.shared_variants(_variant_rows(table(spark, sf_dir, "alignments").filter(F.col("sample_id").isin("ctl_a", "ctl_b", "trt_a"))), 3)
-
-
 def jk_shared_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants that all samples there are share."""
     return pl.shared_variants(_variant_rows(table(spark, sf_dir, "alignments")))
@@ -173,7 +168,7 @@ def s11_tagged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     k13_coverage_bins, u9_exon_gc, g1_contig_check, o4_sorted, s11_tagged_reads,
     a7_junction_counts, a8_site_counts, k4_junction_genes, k7_junction_bed, jm_thinned_junctions, g8_known_junctions, a22_anti_support, jg_sites_in_genes, ja_overlaps, a10_uncrowded,
-    a13_coverage, a12_pileup, w1_background, jk_shared_variants, jk_shared_by_all, u2_flattened, u3_chopped, u6_unique_bases, u9_gap_bins, u19_promoters,
+    a13_coverage, a12_pileup, w1_background, jk_shared_by_all, u2_flattened, u3_chopped, u6_unique_bases, u9_gap_bins, u19_promoters,
 )
 
 
@@ -256,8 +251,6 @@ select gene_name, block_id, length(regexp_replace(s, '[^GCgc]', '', 'g')) gc, le
         "w1_background": _PILE
         + """, m as (select chr, pos, greatest(a, c, g, t) matches, a + c + g + t - greatest(a, c, g, t) mismatches from p)
 select chr, pos, matches, mismatches, cast(sum(matches) over w - matches as bigint) bg_matches, cast(sum(mismatches) over w - mismatches as bigint) bg_mismatches from m window w as (partition by chr order by pos range between 5 preceding and 5 following)""",
-        "jk_shared_variants": """with v as (select 'SNP' kind, rname chr, pos // 1000000 pos, substr(cigar, 1, 1) "ref", right(cigar, 1) alt, mapq quality, sample_id file from alignments where sample_id in ('ctl_a', 'ctl_b', 'trt_a'))
-select kind, chr, pos, "ref", alt, min(quality) quality, arg_min(file, (quality, file)) file from v group by kind, chr, pos, "ref", alt having count(distinct file) = 3""",
         "jk_shared_by_all": """with v as (select 'SNP' kind, rname chr, pos // 1000000 pos, substr(cigar, 1, 1) "ref", right(cigar, 1) alt, mapq quality, sample_id file from alignments)
 select kind, chr, pos, "ref", alt, min(quality) quality, arg_min(file, (quality, file)) file from v group by kind, chr, pos, "ref", alt having count(distinct file) + max((file is null)::int) = (select count(distinct sample_id) + max((sample_id is null)::int) from alignments)""",
         "u2_flattened": "with " + _merged(ex, "gene, chr, strand") + " select gene, chr, strand, a seg_start, z seg_stop from m",

@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -143,7 +144,7 @@ class BamReader(DataSourceReader):
             stream = _Unpacked(f, first)
             if part.start == 0:
                 stream.take(skip)
-            elif not _find_record(stream, names):
+            elif not _find_record(stream, len(names), part.stop):
                 return
             while True:
                 # a record belongs to the range in which its first block begins
@@ -228,33 +229,69 @@ def _next_block(f, start: int) -> int | None:
     return None
 
 
-def _plausible(data: bytes, at: int, n_refs: int) -> int:
-    """Size of the record at ``at``, 0 if there can't be one."""
-    if at + 36 > len(data):
-        return 0
-    size, ref, pos, bits, flag_ops, length, mate, mate_pos = struct.unpack("<iiiIIiii", data[at : at + 32])
-    name, ops = bits & 0xFF, flag_ops & 0xFFFF
+_LARGEST = 1 << 28  # bytes of a record
+_CHAIN = 4  # records that must follow one another to prove where they begin
+
+
+def _beginnings(data: bytearray, lo: int, hi: int, n_refs: int) -> np.ndarray:
+    """Places from lo to hi at which the fixed fields of a record could lie."""
+    at = np.arange(lo, min(hi, len(data) - 36))
+    if not len(at):
+        return at
+    raw = np.frombuffer(bytes(data[at[0] : at[-1] + 36]), np.uint8).astype(np.int64)
+
+    def field(o: int, width: int = 4) -> np.ndarray:
+        v = sum(raw[o + b : o + b + len(at)] << 8 * b for b in range(width))
+        return np.where(v >= 1 << 31, v - (1 << 32), v) if width == 4 else v
+
+    size, name, ops, length = field(0), field(12, 1), field(16, 2), field(20)
     need = 32 + name + 4 * ops + (length + 1) // 2 + length
-    ok = 32 < size < 1 << 24 and -1 <= ref < n_refs and -1 <= mate < n_refs and pos >= -1 and mate_pos >= -1 and name > 1 and 0 <= length < 1 << 24 and need <= size
-    if not ok or at + 36 + name > len(data):
+    ok = (size >= need) & (size < _LARGEST) & (length >= 0) & (name > 1)
+    for ref in (field(4), field(24)):
+        ok &= (ref >= -1) & (ref < n_refs)
+    return at[ok & (field(8) >= -1) & (field(28) >= -1)]
+
+
+def _record_size(stream: _Unpacked, at: int, n_refs: int) -> int:
+    """Size of the record at ``at``, 0 if there can't be one, -1 at the end of the file."""
+    data = stream.data
+    while len(data) < at + 36 + 256 and stream.more():
+        pass
+    if at >= len(data):
+        return -1
+    if not len(_beginnings(data, at, at + 1, n_refs)):
         return 0
+    size, name, ops = struct.unpack_from("<i", data, at)[0], data[at + 12], struct.unpack_from("<H", data, at + 16)[0]
     text = data[at + 36 : at + 36 + name]
-    return size + 4 if text[-1] == 0 and all(33 <= c < 127 for c in text[:-1]) else 0
+    if len(text) < name or text[-1] != 0 or not all(33 <= c < 127 for c in text[:-1]):
+        return 0
+    codes = data[at + 36 + name : at + 36 + name + 4 * ops : 4]
+    return size + 4 if all(c & 15 <= 8 for c in codes) else 0
 
 
-def _find_record(stream: _Unpacked, names: list[str]) -> bool:
-    """Moves to the first record of the stream: the first place from which
-    records follow one another to the end of what is looked at."""
-    while len(stream.data) < 1 << 18 and stream.more():
-        pass
-    for at in range(max(0, len(stream.data) - 35)):
-        p, n = at, 0
-        while n < 40 and (size := _plausible(stream.data, p, len(names))):
-            p, n = p + size, n + 1
-        if n and (n >= 5 or p >= len(stream.data) - 65_536):
-            stream.pos = at
-            return True
-    return False
+def _find_record(stream: _Unpacked, n_refs: int, stop: int) -> bool:
+    """Moves to the first record that begins in a block before ``stop``, the
+    first place from which records follow one another; False if none begins
+    there, as where one long record fills the whole range."""
+    at = 0
+    while True:
+        if len(stream.data) < at + 292 and not stream.more() and at + 36 > len(stream.data):
+            return False
+        if max(offset for place, offset in stream.starts if place <= at) >= stop:
+            return False
+        nxt = max(at + 1, len(stream.data) - 291)
+        for place in _beginnings(stream.data, at, nxt, n_refs).tolist():
+            p, n = place, 0
+            while n < _CHAIN and (size := _record_size(stream, p, n_refs)) > 0:
+                p, n = p + size, n + 1
+                while len(stream.data) < p and stream.more():
+                    pass
+            if n == _CHAIN or (n and size < 0 and p == len(stream.data)):
+                if max(offset for begin, offset in stream.starts if begin <= place) >= stop:
+                    return False
+                stream.pos = place
+                return True
+        at = nxt
 
 
 def decode(r: bytes, names: list[str]) -> tuple:

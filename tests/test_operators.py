@@ -11,6 +11,7 @@ from seqloom.functions import sequence as sq
 from seqloom.functions.flags import hits, mate_flag
 from seqloom.operators import alignment, cells, intervals, kmers, pileup, sampling
 from seqloom.operators.assign import Options, assign, count_targets, resolve_chromosomes, target_counts
+from seqloom.operators.pairing import pair_mates
 from seqloom.functions.cigar import sections
 from seqloom.plans.aligning import g10_aligned
 
@@ -218,11 +219,18 @@ def test_assignment_brute_force(spark, seed, options):
     assert {r.target: r.count65536 for r in count_targets(frag, fd, options).collect()} == want
 
 
+def test_places_on_two_chromosomes_are_two_pairs(spark):
+    rows = [(1, "f", 67, "c1", 10, "=", 50), (2, "f", 131, "c1", 50, "=", 10), (3, "f/1", 67, "c2", 10, "c2", 50), (4, "f/2", 131, "c2", 50, "=", 10), (5, "f", 67, "c1", 10, "c2", 50), (6, "f", 131, "c2", 50, "c1", 10), (7, "f", 73, "c1", 10, "*", None)]
+    df = spark.createDataFrame(rows, "id long, qname string, flag int, rname string, pos long, rnext string, pnext long").withColumn("tags", F.lit(None).cast("string"))
+    got = {(r.r1.id if r.r1 else None, r.r2.id if r.r2 else None) for r in pair_mates(df, ["id"]).collect()}
+    assert got == {(1, 2), (3, 4), (5, 6), (7, None)}
+
+
 def test_names_and_flags(spark):
     names = spark.createDataFrame([("chr1",), ("2",), ("chr3",), ("MT",)], "n string")
     alias = spark.createDataFrame([("chr3", "III"), ("MT", "chrM")], "annotation_chr string, read_chr string")
     df = spark.createDataFrame([(x,) for x in ("chr1", "1", "chr2", "III", "chrM", "chr9", None, "*")], "c string")
-    assert {r.c: r.chr for r in resolve_chromosomes(df, "c", names, alias).collect()} == {"chr1": "chr1", "1": "chr1", "chr2": "2", "III": "chr3", "chrM": "MT", "chr9": None, None: None, "*": None}
+    assert {r.c: r.chr for r in resolve_chromosomes(df, {"c": "chr"}, names, alias).collect()} == {"chr1": "chr1", "1": "chr1", "chr2": "2", "III": "chr3", "chrM": "MT", "chr9": None, None: None, "*": None}
     f = spark.createDataFrame([(99, "NH:i:4\tHI:i:1"), (0, "XNH:i:9"), (73, None)], "flag int, tags string").select(mate_flag("flag").alias("m"), hits("tags").alias("n")).collect()
     assert [tuple(r) for r in f] == [(147, 4), (0, 1), (133, 1)]
 

@@ -153,3 +153,19 @@ def test_streams(spark, tmp_path):
     q = windowed_lengths(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))).writeStream.outputMode("complete").format("memory").queryName("lengths").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("lengths").agg(F.sum("n")).first()[0] == log.filter("read_length >= 1").count()
+
+
+def test_bam_of_long_records_is_whole_at_any_range(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for i in range(24):
+        n = 400_000 if i % 3 else rng.randrange(1, 300)
+        seq = "".join(rng.choices("ACGTN", k=2000)) * (n // 2000) + "A" * (n % 2000)
+        rows.append((f"read{i}", 0, "chr1", 100 * i + 1, 60, f"{n}M", "*", 0, 0, seq, "".join(rng.choices("!5I~", k=500)) * (n // 500) + "I" * (n % 500), "NH:i:1"))
+    df = spark.createDataFrame(rows, "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags string")
+    binary.register(spark)
+    folder = str(tmp_path / "long")
+    binary.write_bam(df.coalesce(1), folder, [("chr1", 10**7)])
+    for split in (1 << 16, 300_000, 1 << 20, 2 << 20, 64 << 20):
+        got = spark.read.format("bam").option("split", split).load(folder).select("qname", F.md5("seq").alias("s"), F.md5("qual").alias("q")).collect()
+        assert sorted((r.qname, r.s, r.q) for r in got) == sorted((r.qname, r.s, r.q) for r in df.select("qname", F.md5("seq").alias("s"), F.md5("qual").alias("q")).collect())

@@ -2,10 +2,8 @@
 
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from seqloom.llm import packing
 from seqloom.operators import cells, pileup
 from seqloom.plans.aligning import g14_long_reads, jl_supported_splices
 from seqloom.plans.sequence import a20_ambient_ranks, fn16_window_codes, k10_planted_variants, w6_rescue_called
@@ -107,12 +105,3 @@ def test_rescue_ends_at_its_rank(spark):
     ranks = spark.range(1, 60_001).select(F.col("id").cast("string").alias("cell"), F.lit(900).cast("long").alias("total"), F.col("id").cast("int").alias("rank"))
     for n_cells, last in ((30_000, 44_999), (10_000, 30_000)):
         assert tuple(cells.rescue_candidates(ranks, n_cells).agg(F.min("rank"), F.max("rank")).first()) == (n_cells + 1, last)
-
-
-def test_as_many_lengths_are_priced_at_any_capacity(monkeypatch):
-    priced, whole = [], packing.best_configuration
-    monkeypatch.setattr(packing, "best_configuration", lambda sizes, *rest: priced.append(len(sizes)) or whole(sizes, *rest))
-    for capacity in (2_048, 8_192):
-        priced.clear()
-        packing.configurations(np.arange(100, 500), np.full(400, 9), capacity, rounds=3)
-        assert priced[:3] == [160] * 3
