@@ -16,7 +16,7 @@ from seqloom.operators.pairing import fragment_name, pair_mates
 from seqloom.plans.assignment import _READS, fragments, reads
 from seqloom.plans.genome import _J, g8_known_junctions
 from seqloom.plans.general import table
-from seqloom.plans.sequence import _cut_reads
+from seqloom.plans.sequence import READS_A_BLOCK, _cut_reads
 from seqloom.session import materialize
 
 
@@ -27,32 +27,36 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _changed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads cut from the blocks; of every fifth two letters are left out."""
-    s = F.when(F.col("block_id") % 5 == 0, F.concat(F.substring("s", 1, 50), F.substring("s", 53, 48))).otherwise(F.col("s"))
-    return _cut_reads(spark, sf_dir).select("block_id", s.alias("s"))
+    s = F.when((F.floor(F.col("read") / READS_A_BLOCK) % 5 == 0) & (F.length("s") == 100), F.concat(F.substring("s", 1, 50), F.substring("s", 53, 48))).otherwise(F.col("s"))
+    return _cut_reads(spark, sf_dir).select("read", s.alias("s"))
 
 
 def g10_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads cut from the blocks, placed again."""
     r = _changed_reads(spark, sf_dir)
-    both = r.select(F.col("block_id").alias("read"), F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.upper("s").alias("s")), F.struct(F.lit(1).alias("strand"), F.upper(reverse_complement("s")).alias("s")))).alias("x")).select("read", "x.*")
-    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=20)
-    best = kmers.best_votes(kmers.votes(kmers.spaced_seeds(r, "block_id", "s"), index), 2, 2)
+    both = r.select("read", F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.upper("s").alias("s")), F.struct(F.lit(1).alias("strand"), F.upper(reverse_complement("s")).alias("s")))).alias("x")).select("read", "x.*")
+    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=100)
+    best = kmers.best_votes(kmers.votes(kmers.spaced_seeds(r, "read", "s"), index), 2, 2)
     return al.align(best, both, _blocks(spark, sf_dir))
 
 
 def g5_paired_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each block's two cuts as mates of one fragment."""
-    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=20)
+    """Mates of 90 letters, 90 apart, from every 400 letters of each block."""
+    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=100)
     b = table(spark, sf_dir, "index_blocks").filter("length(base_values) >= 400")
-    m1 = b.select("block_id", F.upper(F.substring("base_values", 21, 90)).alias("s"))
-    m2 = b.select("block_id", reverse_complement(F.upper(F.substring("base_values", 201, 90))).alias("s"))
-    c1, c2 = (kmers.votes(kmers.spaced_seeds(m, "block_id", "s"), index) for m in (m1, m2))
+    cut = b.select((F.col("block_id") * READS_A_BLOCK).alias("b"), "base_values", F.explode(F.sequence(F.lit(0), F.floor(F.length("base_values") / 400).cast("int") - 1)).alias("k"))
+    letters = lambda at: F.upper(F.substring(F.col("base_values"), F.col("k") * 400 + at, F.lit(90)))
+    mates = cut.select((F.col("b") + F.col("k")).alias("read"), letters(21).alias("s1"), reverse_complement(letters(201)).alias("s2"))
+    c1, c2 = (kmers.votes(kmers.spaced_seeds(mates, "read", s), index) for s in ("s1", "s2"))
     return al.pair_candidates(c1, c2)
 
 
 def g14_dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=20)
-    return al.dense_windows(kmers.votes(kmers.spaced_seeds(_cut_reads(spark, sf_dir), "block_id", "s"), index), 2000)
+    """Windows of 20,000 of the long reads whose id is divisible by 20 (a
+    stated set of searches), against all blocks; a seed every third letter."""
+    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=100)
+    r = table(spark, sf_dir, "long_reads").filter("read_id % 20 = 0 and read_text is not null")
+    return al.dense_windows(kmers.votes(kmers.dense_seeds(r, "read_id", "read_text"), index))
 
 
 def g14_long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,15 +76,6 @@ def _junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.fragment_junctions(mapped, "fragment")
 
 
-def jl_alternative_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junctions that share one end with an exon's or with those taken as known
-    by their place, whatever their support."""
-    j = _junctions(spark, sf_dir)
-    known = table(spark, sf_dir, "tx_exons").filter("exon_start <= exon_stop").select(F.col("chro_name").alias("chr"), F.col("exon_stop").alias("left"), F.lit(0).cast("long").alias("right"))
-    seen = jn.junction_counts(j).filter(F.col("left") % 3 == 0).select("chr", "left", (F.col("right") + F.col("left") % 2).alias("right"))
-    return al.alternative_splices(j, seen.unionByName(known)).groupBy("chr", "left", "right").agg(F.count(F.lit(1)).alias("n"))
-
-
 def jl_supported_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Junctions that share one end, but not both, with those seen in at least
     two fragments or given by the annotation."""
@@ -104,7 +99,7 @@ def fn22_template_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("r1.row_id").alias("row_id"), al.template_length(F.col("r1.pos"), reference_span(F.col("r1.cigar")), F.col("r2.pos"), reference_span(F.col("r2.cigar"))).alias("template_length"))
 
 
-ALL = (g10_aligned, g5_paired_candidates, g14_dense_windows, g14_long_reads, u18_indels, jl_alternative_splices, jl_supported_splices, fn5_fragment_lengths, fn22_template_lengths)
+ALL = (g10_aligned, g5_paired_candidates, g14_dense_windows, g14_long_reads, u18_indels, jl_supported_splices, fn5_fragment_lengths, fn22_template_lengths)
 
 
 def queries() -> dict:
@@ -115,18 +110,19 @@ def oracle_sql() -> dict[str, str]:
     from seqloom.plans.assignment import _PAIRS, _assign_sql
     from seqloom.plans.sequence import oracle_sql as sequences
 
-    votes = sequences()["a16_votes"].removesuffix("select * from v")
+    cut = sequences()["a16_votes"]
+    rc = "reverse(translate(read_text, 'ACGTacgt', 'TGCAtgca'))"
+    long = f"""with bo as (select read_id "read", 0 strand, upper(read_text) s from long_reads where read_id % 20 = 0 and length(read_text) >= 16 union all select read_id, 1, upper({rc}) from long_reads where read_id % 20 = 0 and length(read_text) >= 16),
+seeds as (select * from (select "read", strand, o "offset", substr(s, o + 1, 16) kmer from (select *, unnest(range(0, length(s) - 15, 3)) o from bo)) where not regexp_matches(kmer, '[^ACGT]')), pl as """
+    votes = long + cut.split("pl as ", 1)[1].removesuffix("select * from v")
     union = lambda rows, by: f"select {by}, sum(greatest(0, z - greatest(a - 1, coalesce(p, a - 1)))) n from (select *, max(z) over (partition by {by} order by a, z rows between unbounded preceding and 1 preceding) p from ({rows})) group by {by}"
     frags = _assign_sql("a1_fragment_counts").split(",\njud as")[0].rstrip().rstrip(",")
     return {
         "g14_dense_windows": votes
-        + ', t as (select *, sum(votes) over (partition by "read", strand, contig order by diagonal range between current row and 2000 following) wv from v), r as (select *, cast(row_number() over (partition by "read" order by wv desc, contig, strand, diagonal) as int) rank from t) select "read", strand, contig, diagonal w_start, cast(wv as bigint) votes, rank from r where rank <= 3',
+        + ', t as (select *, sum(votes) over (partition by "read", strand, contig order by diagonal range between current row and 20000 following) wv from v), r as (select *, cast(row_number() over (partition by "read" order by wv desc, contig, strand, diagonal) as int) rank from t) select "read", strand, contig, diagonal w_start, cast(wv as bigint) votes, rank from r where rank <= 3',
         "u18_indels": _READS
         + """, nx as (select chr, lag(z) over w pos, bef kind, case when bef = 'I' then rs - lag(rs) over w - (lag(z) over w - lag(a) over w + 1) else a - lag(z) over w - 1 end length from secs join al using (row_id) where chr is not null window w as (partition by row_id order by no))
 select chr, pos, kind, length, count(*) support, round(case when count(*) < 30 then pow(0.5, 30 - count(*)) else 1 end * pow(2, 30), 3) quality from nx where pos is not null and kind in ('I', 'D') and length <= 100 group by all""",
-        "jl_alternative_splices": _J
-        + """, kn as (select distinct * from (select chr, "left" l, "right" + "left" % 2 r from jc where "left" % 3 = 0 union all select chro_name, exon_stop, 0 from tx_exons where exon_start <= exon_stop))
-select chr, "left", "right", n from jc where not exists (select 1 from kn where kn.chr = jc.chr and l = "left" and r = "right") and (exists (select 1 from kn where kn.chr = jc.chr and l = "left") or exists (select 1 from kn where kn.chr = jc.chr and r = "right"))""",
         "jl_supported_splices": _J
         + """, e as (select distinct transcript_id, chro_name, exon_start a, exon_stop z from tx_exons where chro_name is not null and exon_start <= exon_stop),
 kn as (select chr, "left" l, "right" r from jc where n >= 2 union select chro_name, z, r from (select *, lead(a) over (partition by transcript_id, chro_name order by a, z) r from e) where r > z + 1)

@@ -15,11 +15,6 @@ def fn15_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "index_blocks").select("block_id", F.md5(sq.reverse_complement("base_values")).alias("digest"), F.sha2("base_values", 256).alias("sha"))
 
 
-def fn16_kmer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("read_text", 1, 16)
-    return table(spark, sf_dir, "long_reads").select("read_id", sq.kmer_code(head).alias("code"))
-
-
 def fn16_window_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all windows of the reads that hold only bases."""
     r = table(spark, sf_dir, "long_reads").select("read_id", "read_text")
@@ -40,9 +35,12 @@ def fn19_close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn20_splice_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of the pairs of letters that lie 90 apart, from every 120th
+    letter of each block, by how often they occur."""
     b = table(spark, sf_dir, "index_blocks").filter("length(base_values) >= 120")
-    donor, acceptor = F.substring("base_values", 11, 2), F.substring("base_values", 101, 2)
-    return b.select("block_id", sq.splice_class(donor, acceptor).alias("splice_class"), sq.junction_strand(donor, acceptor).alias("strand"))
+    at = b.select("block_id", "base_values", F.explode(F.sequence(F.lit(0), F.floor(F.length("base_values") / 120).cast("int") - 1)).alias("k"))
+    donor, acceptor = (F.substring(F.col("base_values"), F.col("k") * 120 + o, F.lit(2)) for o in (11, 101))
+    return at.groupBy("block_id", sq.splice_class(donor, acceptor).alias("splice_class"), sq.junction_strand(donor, acceptor).alias("strand")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fn23_mapping_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +66,16 @@ def g2_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.index(b, "chro_name", "base_values", "start_base_offset", most=2).groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
+READS_A_BLOCK = 100_000  # so the name of a read tells its block and its place in it
+
+
 def _cut_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads of 100 letters cut from the blocks, odd ones of the other strand."""
-    b = table(spark, sf_dir, "index_blocks").filter("length(base_values) >= 200")
-    s = F.upper(F.substring("base_values", 51, 100))
-    return b.select("block_id", F.when(F.col("block_id") % 2 == 1, sq.reverse_complement(s)).otherwise(s).alias("s"))
+    """Reads of 100 letters (the last may be shorter) that follow one another
+    over the whole of each block; those of odd blocks of the other strand."""
+    b = table(spark, sf_dir, "index_blocks").filter("length(base_values) > 0")
+    cut = b.select("block_id", "base_values", F.explode(F.sequence(F.lit(0), F.floor((F.length("base_values") - 1) / 100).cast("int"))).alias("k"))
+    s = F.upper(F.substring(F.col("base_values"), F.col("k") * 100 + 1, F.lit(100)))
+    return cut.select((F.col("block_id") * READS_A_BLOCK + F.col("k")).alias("read"), F.when(F.col("block_id") % 2 == 1, sq.reverse_complement(s)).otherwise(s).alias("s"))
 
 
 def g3_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +83,12 @@ def g3_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.spaced_seeds(_cut_reads(spark, sf_dir), "block_id", "s")
+    return kmers.spaced_seeds(_cut_reads(spark, sf_dir), "read", "s")
 
 
 def a16_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "index_blocks")
-    return kmers.votes(_seeds(spark, sf_dir), kmers.index(b, "chro_name", "base_values", "start_base_offset", step=1, most=20))
+    return kmers.votes(_seeds(spark, sf_dir), kmers.index(b, "chro_name", "base_values", "start_base_offset", step=1, most=100))
 
 
 def w3_best_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,19 +140,10 @@ def _run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "read_log").filter("run_id is not null").groupBy(F.concat_ws("/", "run_id", (F.col("log_id") % 50).cast("string")).alias("cell"), F.coalesce("sample_id", F.lit("none")).alias("gene")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def a20_ambient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _run_counts(spark, sf_dir)
-    return cells.ambient_profile(c, cells.ranked_cells(c, "cell"), "cell", "gene", 200, 900)
-
-
 def w5_cell_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.ranked_cells(_run_counts(spark, sf_dir), "cell")
 
 
-def w6_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.rescue_candidates(w5_cell_ranks(spark, sf_dir), 50, 1000, 3)
-
-
 def a20_ambient_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by gene over the cells of ranks 45,001 to 90,000."""
     c = _run_counts(spark, sf_dir)
@@ -209,8 +203,8 @@ def k10_planted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    fn15_reverse_complement, fn16_kmer_codes, fn16_window_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_seeds, a16_votes, w3_best_votes, u8_full_scan,
-    jh_barcodes, ji_samples, a17_merged_tags, a18_gene_conflicts, a19_cell_gene_counts, a20_ambient, a20_ambient_ranks, w5_cell_ranks, w6_rescue, w6_rescue_called, k11_matrix, w7_systematic_sample, u10_allocated, u14_fastq, k10_planted_variants,
+    fn15_reverse_complement, fn16_window_codes, fn18_scores, fn19_close_names, fn20_splice_classes, fn23_mapping_quality, fn29_gc_content, a15_kmer_counts, g2_index, g3_seeds, a16_votes, w3_best_votes, u8_full_scan,
+    jh_barcodes, ji_samples, a17_merged_tags, a18_gene_conflicts, a19_cell_gene_counts, a20_ambient_ranks, w5_cell_ranks, w6_rescue_called, k11_matrix, w7_systematic_sample, u10_allocated, u14_fastq, k10_planted_variants,
 )
 
 
@@ -229,10 +223,11 @@ def _l4(n: str, width: int, salt: int) -> str:
 def oracle_sql() -> dict[str, str]:
     win = "select *, upper(substr(s, o + 1, 16)) kmer from (select *, unnest(range(0, length(s) - 15, {step})) o from ({rows})) where not regexp_matches(upper(substr(s, o + 1, 16)), '[^ACGT]')"
     blocks = win.format(step="{step}", rows="select chro_name, start_base_offset, base_values s from index_blocks where length(base_values) >= 16")
-    cut = "select block_id, case when block_id % 2 = 1 then " + _rc("upper(substr(base_values, 51, 100))") + " else upper(substr(base_values, 51, 100)) end s from index_blocks where length(base_values) >= 200"
-    seeds = f"""cut as ({cut}), bo as (select block_id "read", 0 strand, upper(s) s from cut union all select block_id, 1, upper({_rc('s')}) from cut),
+    part = "upper(substr(base_values, k * 100 + 1, 100))"
+    cut = f'select block_id * {READS_A_BLOCK} + k "read", case when block_id % 2 = 1 then {_rc(part)} else {part} end s from (select *, unnest(range(0, (length(base_values) - 1) // 100 + 1)) k from index_blocks where length(base_values) > 0)'
+    seeds = f"""cut as ({cut}), bo as (select "read", 0 strand, upper(s) s from cut where length(s) >= 16 union all select "read", 1, upper({_rc('s')}) from cut where length(s) >= 16),
 seeds as (select * from (select distinct "read", strand, o "offset", substr(s, o + 1, 16) kmer from (select *, cast(floor(i * (length(s) - 16) / 9) as int) o from bo, range(10) t(i))) where not regexp_matches(kmer, '[^ACGT]'))"""
-    votes = f"""with {seeds}, pl as (select kmer, chro_name contig, start_base_offset + o pos from ({blocks.format(step=1)})), ok as (select * from pl where kmer in (select kmer from pl group by kmer having count(*) <= 20)),
+    votes = f"""with {seeds}, pl as (select kmer, chro_name contig, start_base_offset + o pos from ({blocks.format(step=1)})), ok as (select * from pl where kmer in (select kmer from pl group by kmer having count(*) <= 100)),
 v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "offset") votes, min("offset") c_start, max("offset") c_stop from seeds join ok using (kmer) group by all) """
     mol = f"select sample_id cell, gene_name gene, {_l4('pos % 65536', 6, 7)} umi, count(*) reads from alignments where gene_name is not null group by all"
     solved = f"with m as ({mol}), r as (select *, row_number() over w r, lead(reads) over w s from m window w as (partition by cell, umi order by reads desc, gene)), k as (select cell, gene, umi, reads from r where r = 1 and (s is null or s < reads)) "
@@ -245,11 +240,10 @@ v as (select "read", strand, contig, pos - "offset" diagonal, count(distinct "of
     match = lambda p: " + ".join(f"(substr(w, {i + 1}, 1) = '{c}')::int" for i, c in enumerate(p))
     return {
         "fn15_reverse_complement": f"select block_id, md5({_rc('base_values')}) digest, sha256(base_values) sha from index_blocks",
-        "fn16_kmer_codes": "select read_id, case when regexp_matches(upper(substr(read_text, 1, 16)), '^[ACGT]{16}$') then cast(list_sum(list_transform(range(1, 17), lambda i: (instr('AGCT', upper(substr(read_text, i, 1))) - 1) * (4 ** (16 - i)))) as bigint) end code from long_reads",
         "fn16_window_codes": "select read_id, cast(o as int) \"offset\", cast(list_sum(list_transform(range(1, 17), lambda i: (instr('AGCT', upper(substr(w, i, 1))) - 1) * (4 ** (16 - i)))) as bigint) code from (select read_id, o, substr(read_text, o + 1, 16) w from (select *, unnest(range(0, length(read_text) - 15)) o from long_reads)) where regexp_matches(upper(w), '^[ACGT]{16}$')",
         "fn18_scores": "select read_id, cast(sum(s) as bigint) total, min(s) least, max(s) greatest from (select read_id, unicode(substr(qual_text, unnest(range(1, length(qual_text) + 1)), 1)) - 33 s from long_reads where length(qual_text) > 0) group by read_id",
         "fn19_close_names": f"with t as (select distinct gene_name, transcript_id from tx_exons where gene_name is not null), f as (select gene_name, min(transcript_id) m from t group by gene_name) select gene_name, transcript_id, cast({ham('transcript_id', 'm')} as int) distance from t join f using (gene_name)",
-        "fn20_splice_classes": f"select block_id, {splice} splice_class, case {splice} when 1 then '+' when 2 then '-' else 'NA' end strand from (select block_id, upper(substr(base_values, 11, 2)) d, upper(substr(base_values, 101, 2)) a from index_blocks where length(base_values) >= 120)",
+        "fn20_splice_classes": f"select block_id, {splice} splice_class, case {splice} when 1 then '+' when 2 then '-' else 'NA' end strand, count(*) n from (select block_id, upper(substr(base_values, k * 120 + 11, 2)) d, upper(substr(base_values, k * 120 + 101, 2)) a from (select *, unnest(range(0, length(base_values) // 120)) k from index_blocks where length(base_values) >= 120)) group by all",
         "fn23_mapping_quality": "select case when mapq = 0 then 0 else 40 // (mapq % 3 + 1 + flag % 5) end quality, count(*) n from alignments group by 1",
         "fn29_gc_content": "select block_id, length(regexp_replace(base_values, '[^GCgc]', '', 'g')) gc, length(regexp_replace(base_values, '[^ACGTacgt]', '', 'g')) called, greatest(0, length(base_values) - 12) trimmed from index_blocks where base_values is not null",
         "a15_kmer_counts": f"select times, count(*) kmers from (select kmer, count(*) times from ({blocks.format(step=3)}) group by kmer) group by times",
@@ -266,10 +260,8 @@ u as (select distinct tag, lane from r), f as (select tag, lane, arg_min(sample,
 select f.sample, count(*) n from r left join f using (tag, lane) group by f.sample""",
         "a18_gene_conflicts": solved + "select * from k",
         "a19_cell_gene_counts": solved + "select cell, gene, count(*) n from k group by all",
-        "a20_ambient": f"with {cellsql} select gene, cast(sum(n) as bigint) n from c join rk using (cell) where rank > 200 and rank <= 900 group by gene",
         "a20_ambient_ranks": f"with {cellsql} select gene, cast(sum(n) as bigint) n from c join rk using (cell) where rank > 45000 and rank <= 90000 group by gene",
         "w5_cell_ranks": f"with {cellsql} select * from rk",
-        "w6_rescue": f"with {cellsql} select * from rk where rank > 50 and rank < 1000 and total >= greatest(3.0, 0.01 * (select median(total) from rk where rank <= 50)) and rank <= 20050",
         "k11_matrix": solved + ", n as (select cell, gene, count(*) n from k group by all) select cast(dense_rank() over (order by gene) as int) gene_no, cast(dense_rank() over (order by cell) as int) cell_no, n from n",
         "u10_allocated": """with e as (select gene_name, (end_pos - start_pos + 1) * 1000000 / (select sum(end_pos - start_pos + 1) from genes) x from genes), f as (select *, floor(x) w, row_number() over (order by round(x - floor(x), 9) desc, gene_name) r from e)
 select gene_name, cast(w + (r <= 1000000 - (select sum(w) from f))::int as bigint) n from f""",
