@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import hamming
+from seqloom.operators.sampling import numbered
+from seqloom.session import materialize
 
 
 def _halves(c: str) -> Column:
@@ -93,7 +95,15 @@ def ranked_cells(counts: DataFrame, cell: str, sample: list[str] | None = None)
     """(sample..., cell, total, rank): cells by falling total, then name."""
     by = sample or []
     totals = counts.groupBy(*by, cell).agg(F.sum("n").alias("total"))
-    return totals.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("total"), cell)))
+    ranks = numbered(totals, [*by, F.desc("total"), cell], "_no")
+    if not by:
+        return ranks.select(cell, "total", (F.col("_no") + 1).cast("int").alias("rank"))
+    ranks = materialize(ranks)
+    first = ranks.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_no").alias("_first"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ranks.join(first, same).select(*by, cell, "total", (F.col("_no") - F.col("_first") + 1).cast("int").alias("rank"))
 
 
 def ambient_profile(counts: DataFrame, ranks: DataFrame, cell: str, gene: str, low: int = 45_000, high: int = 90_000) -> DataFrame:
@@ -129,7 +139,7 @@ def rescue_candidates(ranks: DataFrame, n_cells: int, low: int = 45_000, least:
 def matrix(counts: DataFrame, cell: str, gene: str) -> DataFrame:
     """Coordinate form of the matrix: (gene_no, cell_no, n), numbered from 1 in
     the order of names. Distinct names are numbered, then joined back."""
-    def numbered(c: str, no: str) -> DataFrame:
-        return counts.select(c).distinct().withColumn(no, F.dense_rank().over(W.orderBy(c)))
+    def names(c: str, no: str) -> DataFrame:
+        return numbered(counts.select(c).distinct(), [c], no).withColumn(no, (F.col(no) + 1).cast("int"))
 
-    return counts.join(numbered(gene, "gene_no"), gene).join(numbered(cell, "cell_no"), cell).select("gene_no", "cell_no", "n")
+    return counts.join(names(gene, "gene_no"), gene).join(names(cell, "cell_no"), cell).select("gene_no", "cell_no", "n")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import called_bases, gc_bases
+from seqloom.session import materialize
 
 BIN = 1 << 14
 
@@ -47,24 +48,59 @@ def union_length(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), state, step, lambda s: s["n"])
 
 
+def _edges(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
+    """(keys, at, d): by how much the depth changes at each edge."""
+    rows = df.filter(F.col(start) <= F.col(stop)).select(*keys, F.explode(F.array(F.struct(F.col(start).cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col(stop) + 1).cast("long").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    return rows.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+
+
 def chopped(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     """Every entity's covered positions cut at all edges of its intervals:
-    (keys, seg_start, seg_stop, depth), depth being the intervals on a piece."""
-    rows = df.filter(F.col(start) <= F.col(stop)).select(*keys, F.explode(F.array(F.struct(F.col(start).cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col(stop) + 1).cast("long").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    edges = rows.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    (keys, seg_start, seg_stop, depth), depth being the intervals on a piece.
+    Entities are genes and the like, each the work of one task; for
+    chromosomes see ``coverage_runs``."""
     w = W.partitionBy(*keys).orderBy("at")
-    cut = edges.withColumn("depth", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("at").over(w))
+    cut = _edges(df, keys, start, stop).withColumn("depth", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("at").over(w))
     return cut.filter("depth > 0").select(*keys, F.col("at").alias("seg_start"), (F.col("next") - 1).alias("seg_stop"), "depth")
 
 
+BAND = 1 << 20
+
+
 def coverage_runs(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     """Depth of coverage as runs of equal depth, from differences at the edges
-    (one row an edge, however long the intervals): (keys, run_start, run_stop, depth)."""
-    cut = chopped(df, keys, start, stop)
-    w = W.partitionBy(*keys).orderBy("seg_start")
-    fresh = (F.lag("depth").over(w) != F.col("depth")) | (F.lag("seg_stop").over(w) + 1 != F.col("seg_start"))
-    runs = cut.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "run", "depth").agg(F.min("seg_start").alias("run_start"), F.max("seg_stop").alias("run_stop")).drop("run")
+    (one row an edge, however long the intervals): (keys, run_start, run_stop, depth).
+
+    A key is parted into bands of positions: the depth runs on within a band,
+    and what it is when the band begins comes from the sums of the bands
+    before, one row a band. Edges at which nothing changes part no runs."""
+    edges = materialize(_edges(df, keys, start, stop).filter("d <> 0").withColumn("_band", F.floor(F.col("at") / BAND)))
+    ahead = W.partitionBy(*keys).orderBy("_band")
+    bands = edges.groupBy(*keys, "_band").agg(F.sum("d").alias("d"), F.min("at").alias("first"))
+    bands = bands.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("_band").alias("_b"), F.coalesce(F.sum("d").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_carry"), F.lead("first").over(ahead).alias("_after"))
+    same = F.col("_band") == F.col("_b")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    w = W.partitionBy(*keys, "_band").orderBy("at")
+    cut = edges.withColumn("_depth", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_next", F.lead("at").over(w)).join(bands, same)
+    depth = F.col("_depth") + F.col("_carry")
+    return cut.filter(depth > 0).select(*keys, F.col("at").alias("run_start"), (F.coalesce("_next", "_after") - 1).alias("run_stop"), depth.alias("depth"))
+
+
+def joined_spans(spans: Column) -> Column:
+    """An array of struct<chr, start, stop> as disjoint spans in order; touching
+    ones become one. Spans of a null chromosome are left out."""
+    one = "struct<chr:string,start:bigint,stop:bigint>"
+    sorted_ = F.array_sort(F.filter(spans, lambda x: x["chr"].isNotNull()))
+    state = F.struct(F.array().cast(f"array<{one}>").alias("out"), F.lit(None).cast(one).alias("top"))
+
+    def step(s: Column, x: Column) -> Column:
+        meets = (s["top"]["chr"] == x["chr"]) & (x["start"] <= s["top"]["stop"] + 1)
+        grown = F.struct(x["chr"].alias("chr"), s["top"]["start"].alias("start"), F.greatest(s["top"]["stop"], x["stop"]).alias("stop")).cast(one)
+        out = F.when(meets | s["top"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["top"]))
+        return F.struct(out.alias("out"), F.when(meets, grown).otherwise(x.cast(one)).alias("top"))
+
+    return F.aggregate(sorted_, state, step, lambda s: F.when(s["top"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["top"])))
 
 
 def binned_coverage(runs: DataFrame, keys: list[str], size: int) -> DataFrame:

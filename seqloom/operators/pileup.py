@@ -103,12 +103,28 @@ def _counted_bases(least_score: int, trim: int):
     return count
 
 
+BAND = 1 << 14  # positions of a chromosome that a task looks at together
+
+
+def around(rows: DataFrame, values: dict[str, str], width: int) -> DataFrame:
+    """Adds sums (value: column) over the ``width`` positions to either side
+    and the position itself; rows: chr, pos and others. A chromosome is parted
+    into bands; rows near a border are seen by both bands."""
+    own = F.floor(F.col("pos") / BAND)
+    bands = F.array_distinct(F.array(F.floor((F.col("pos") - width) / BAND), own, F.floor((F.col("pos") + width) / BAND)))
+    w = W.partitionBy("chr", "_band").orderBy("pos").rangeBetween(-width, width)
+    out = rows.withColumn("_band", F.explode(bands))
+    for name, column in values.items():
+        out = out.withColumn(name, F.sum(column).over(w))
+    return out.filter(F.col("_band") == own).drop("_band")
+
+
 def with_background(counts: DataFrame, width: int = 5) -> DataFrame:
     """Adds the matches and mismatches of the ``width`` positions to either
     side; counts: chr, pos, matches, mismatches. Positions without reads add
     nothing."""
-    w = W.partitionBy("chr").orderBy("pos").rangeBetween(-width, width)
-    return counts.withColumn("bg_matches", F.sum("matches").over(w) - F.col("matches")).withColumn("bg_mismatches", F.sum("mismatches").over(w) - F.col("mismatches"))
+    near = around(counts, {"bg_matches": "matches", "bg_mismatches": "mismatches"}, width)
+    return near.withColumn("bg_matches", F.col("bg_matches") - F.col("matches")).withColumn("bg_mismatches", F.col("bg_mismatches") - F.col("mismatches"))
 
 
 def call_variants(counts: DataFrame, reference: DataFrame, known: DataFrame | None = None, width: int = 5, upper: float = 5e-3, depth_unit: float = 50 / 12, least_total: int = 1, least_alternatives: int = 1, least_share: float = 0.0) -> DataFrame:
@@ -128,8 +144,8 @@ def call_variants(counts: DataFrame, reference: DataFrame, known: DataFrame | No
         marks = known.select("chr", "pos").distinct().withColumn("known", F.lit(True))
         flagged = own.join(marks, ["chr", "pos"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
         quiet = flagged.withColumn("m", F.when(F.col("known"), 0).otherwise(F.col("matches"))).withColumn("x", F.when(F.col("known"), 0).otherwise(F.col("mismatches")))
-        w = W.partitionBy("chr").orderBy("pos").rangeBetween(-width, width)
-        bg = quiet.withColumn("bg_matches", F.sum("m").over(w) - F.col("m")).withColumn("bg_mismatches", F.sum("x").over(w) - F.col("x")).drop("m", "x", "known")
+        near = around(quiet, {"bg_matches": "m", "bg_mismatches": "x"}, width)
+        bg = near.withColumn("bg_matches", F.col("bg_matches") - F.col("m")).withColumn("bg_mismatches", F.col("bg_mismatches") - F.col("x")).drop("m", "x", "known")
     else:
         bg = with_background(own, width)
     some = bg.filter((F.col("mismatches") > 0) & (F.col("bg_matches") * 20 > (F.col("bg_matches") + F.col("bg_mismatches")) * 16))

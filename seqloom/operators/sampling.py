@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.session import materialize
 
 
-def numbered(df: DataFrame, order: str, out: str = "row_no", shares: int = 64) -> DataFrame:
-    """Rows with their number (from 0) in the order of a unique whole-number
-    column, without bringing them to one task: rows are ranked within ranges
-    of the column, and the ranges' sizes added up."""
-    low, high = df.select(F.min(order)).scalar(), df.select(F.max(order)).scalar()
-    width = F.greatest(F.lit(1), F.ceil((high - low + 1) / shares))
-    ranged = df.withColumn("_r", F.floor((F.col(order) - low) / width))
-    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy(order)) - 1)
-    return ranked.join(F.broadcast(before), "_r").withColumn(out, F.col("_i") + F.col("_skip")).drop("_r", "_i", "_skip")
+def numbered(df: DataFrame, order: list[Column | str], out: str = "row_no") -> DataFrame:
+    """Rows with their number (from 0) in an order, without bringing them to
+    one task: they are range-partitioned by Spark's sampled quantiles and
+    sorted, and the numbers of rows of the partitions before (one a partition,
+    added up by the driver) put on their places. The order should be total."""
+    # the lower 33 bits of the id are the row's place in its partition
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*df.columns, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i"))
+    placed = materialize(placed)
+    sizes = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    skip, before = [], 0
+    for p, n in sizes:
+        skip.append((p, before))
+        before += n
+    table = df.sparkSession.createDataFrame(skip, "_p int, _skip long")
+    return placed.join(F.broadcast(table), "_p").withColumn(out, F.col("_i") + F.col("_skip")).drop("_p", "_i", "_skip")
 
 
 def systematic_sample(df: DataFrame, order: str, wanted: int) -> DataFrame:
     """About ``wanted`` rows at even distances: row i is taken when it is the
     first at or beyond the next mark; marks are max(1, (N - 0.1) / wanted) apart."""
-    rows = numbered(df, order)
+    rows = numbered(df, [order])
     n = materialize(df.agg(F.count(F.lit(1)).alias("n"))).first().n
     step = max(1.0, (n - 0.1) / max(1, wanted))
     mark = F.ceil(F.col("row_no") / step - 1e-10)
@@ -39,5 +42,5 @@ def allocated(shares: DataFrame, name: str, weight: str, total: int) -> DataFram
     everything = shares.select(F.sum(weight)).scalar()
     exact = shares.select(F.col(name), (F.col(weight) * total / everything).alias("x")).withColumn("whole", F.floor("x"))
     left = exact.select(F.lit(total) - F.sum("whole")).scalar()
-    w = W.orderBy(F.desc(F.round(F.col("x") - F.col("whole"), 9)), name)
-    return exact.withColumn("r", F.row_number().over(w)).select(name, (F.col("whole") + (F.col("r") <= left).cast("int")).cast("long").alias("n"))
+    rest = F.round(F.col("x") - F.col("whole"), 9)
+    return numbered(exact, [F.desc(rest), name], "r").select(name, (F.col("whole") + (F.col("r") < left).cast("int")).cast("long").alias("n"))

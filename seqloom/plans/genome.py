@@ -11,7 +11,7 @@ from seqloom.operators import junctions as jn
 from seqloom.operators import pileup as pl
 from seqloom.operators import transcripts as tr
 from seqloom.operators.pairing import fragment_name
-from seqloom.plans.assignment import _READS, exon_features, reads
+from seqloom.plans.assignment import _READS, _assign_sql, exon_features, fragments, reads
 from seqloom.plans.general import table
 from seqloom.session import materialize
 
@@ -82,9 +82,18 @@ def a10_uncrowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.drop_crowded_locations(rows, 2).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"))
 
 
+def _fragment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chr, start, stop): what fragments cover; where their mates or sections
+    overlap they cover it once."""
+    f = fragments(spark, sf_dir, True)
+    of = lambda r: F.transform(F.col(f"{r}.sections"), lambda s: F.struct(F.col(f"{r}.chr").alias("chr"), s.start.alias("start"), s.stop.alias("stop")))
+    none = F.array().cast("array<struct<chr:string,start:bigint,stop:bigint>>")
+    both = F.concat(F.coalesce(of("r1"), none), F.coalesce(of("r2"), none))
+    return f.select(F.explode(iv.joined_spans(both)).alias("s")).select("s.chr", "s.start", "s.stop")
+
+
 def a13_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = reads(spark, sf_dir).filter("chr is not null").select("chr", F.explode("sections").alias("s")).select("chr", "s.start", "s.stop")
-    return iv.coverage_runs(s, ["chr"], "start", "stop")
+    return iv.coverage_runs(_fragment_spans(spark, sf_dir), ["chr"], "start", "stop")
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,15 +144,14 @@ def u19_promoters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k13_coverage_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = reads(spark, sf_dir).filter("chr is not null").select("chr", F.explode("sections").alias("s")).select("chr", "s.start", "s.stop")
-    return iv.binned_coverage(iv.coverage_runs(s, ["chr"], "start", "stop"), ["chr"], 100_000)
+    return iv.binned_coverage(a13_coverage(spark, sf_dir), ["chr"], 100_000)
 
 
 def u9_exon_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GC content of the covered stretches of genes that lie within a block."""
+    """GC content of the parts of genes' flattened exons that lie within a block."""
     b = table(spark, sf_dir, "index_blocks").filter("base_values is not null").select(F.col("chro_name").alias("chr"), "block_id", F.col("start_base_offset").alias("b_start"), (F.col("start_base_offset") + F.length("base_values") - 1).alias("b_stop"), F.col("base_values").alias("letters"))
-    g = table(spark, sf_dir, "genes").select("gene_name", F.col("chro_name").alias("chr"), "start_pos", "end_pos")
-    return iv.span_gc(g, b, ["chr"], "start_pos", "end_pos").select("gene_name", "block_id", F.col("gc").cast("long").alias("gc"), F.col("called").cast("long").alias("called"))
+    met = iv.span_gc(u2_flattened(spark, sf_dir), b, ["chr"], "seg_start", "seg_stop")
+    return met.groupBy("gene", "block_id").agg(F.sum("gc").cast("long").alias("gc"), F.sum("called").cast("long").alias("called"))
 
 
 def g1_contig_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +216,10 @@ def _cut(rows: str, keys: str) -> str:
 def oracle_sql() -> dict[str, str]:
     order = "case when b = 'X' then 90 when b = 'Y' then 91 when b in ('M', 'MT') then 99 else coalesce(try_cast(nullif(regexp_extract(b, '^(\\d+)$', 1), '') as int), 1000) end"
 
+    # sections of both mates of a fragment, each position once
+    mates = _assign_sql("a1_fragment_counts").split(",\njud as")[0].rstrip().rstrip(",")
+    spans = mates + ", fx as (select frag, unnest([i1, i2]) row_id from fr), " + _merged("select fx.frag, al.chr, s.a, s.z from fx join al using (row_id) join secs s using (row_id) where al.chr is not null", "frag, chr") + ", sx as (select chr, a, z from m)"
+
     ex = 'select gene_name gene, chro_name chr, is_negative_strand strand, exon_start a, exon_stop z from tx_exons where exon_start <= exon_stop and chro_name is not null'
     tx = ex.replace("gene_name gene, chro_name chr, is_negative_strand strand", "transcript_id, gene_name, chro_name, is_negative_strand")
     return {
@@ -233,17 +245,17 @@ select jc.chr, "left", "right", count(distinct row_id) n_against from jc join cv
         "a10_uncrowded": _READS
         + """, c as (select row_id, chr, pos - coalesce(try_cast(nullif(regexp_extract(cigar, '^(?:\\d+H)?(\\d+)S', 1), '') as bigint), 0) e from al), k as (select *, count(*) over (partition by chr, e) n from c)
 select chr, count(*) n, cast(sum(row_id) as bigint) ids from k where chr is null or n < 2 group by chr""",
-        "a13_coverage": _READS
-        + ", sx as (select chr, a, z from secs join al using (row_id) where chr is not null), "
+        "a13_coverage": spans
+        + ", "
         + _cut("select * from sx", "chr")
         + """, c2 as (select *, case when lag(depth) over (partition by chr order by a) = depth then 0 else 1 end f from cut)
 select chr, cast(depth as bigint) depth, min(a) run_start, max(z) run_stop from (select *, sum(f) over (partition by chr order by a rows unbounded preceding) g from c2) where depth > 0 group by chr, depth, g""",
-        "k13_coverage_bins": _READS
-        + """, sx as (select chr, a, z from secs join al using (row_id) where chr is not null), b as (select chr, a, z, unnest(range(a // 100000, z // 100000 + 1)) bin from sx)
+        "k13_coverage_bins": spans
+        + """, b as (select chr, a, z, unnest(range(a // 100000, z // 100000 + 1)) bin from sx)
 select chr, bin, cast(sum(least(z, bin * 100000 + 99999) - greatest(a, bin * 100000) + 1) as bigint) bases from b group by chr, bin""",
-        "u9_exon_gc": """with x as (select gene_name, block_id, substr(base_values, greatest(start_pos, start_base_offset) - start_base_offset + 1, least(end_pos, start_base_offset + length(base_values) - 1) - greatest(start_pos, start_base_offset) + 1) s
-  from genes g join index_blocks b on g.chro_name = b.chro_name and start_pos <= start_base_offset + length(base_values) - 1 and end_pos >= start_base_offset where length(base_values) > 0)
-select gene_name, block_id, length(regexp_replace(s, '[^GCgc]', '', 'g')) gc, length(regexp_replace(s, '[^ACGTacgt]', '', 'g')) called from x""",
+        "u9_exon_gc": "with " + _merged(ex, "gene, chr, strand") + """, x as (select gene, block_id, substr(base_values, greatest(a, start_base_offset) - start_base_offset + 1, least(z, start_base_offset + length(base_values) - 1) - greatest(a, start_base_offset) + 1) s
+  from m join index_blocks b on m.chr = b.chro_name and a <= start_base_offset + length(base_values) - 1 and z >= start_base_offset where length(base_values) > 0)
+select gene, block_id, cast(sum(length(regexp_replace(s, '[^GCgc]', '', 'g'))) as bigint) gc, cast(sum(length(regexp_replace(s, '[^ACGTacgt]', '', 'g'))) as bigint) called from x group by gene, block_id""",
         "g1_contig_check": """select chro_name, count(*) blocks, count(*) - count(distinct start_base_offset) repeated, count(*) filter (coalesce(length(base_values), 0) = 0) empty, cast(sum(length(regexp_replace(coalesce(base_values, ''), '[ACGTNacgtn]', '', 'g'))) as bigint) odd_letters from index_blocks group by chro_name""",
         "o4_sorted": _READS + f""" select row_id, chr, pos, {order.replace("b ", "upper(regexp_replace(chr, '^chr', '')) ").replace("(b,", "(upper(regexp_replace(chr, '^chr', '')),")} chr_order from al""",
         "s11_tagged_reads": "select substr(read_text, 1, 8) barcode, substr(read_text, 9, 4) umi, count(*) n from long_reads where length(read_text) >= 20 group by all",
