@@ -3,9 +3,10 @@
 The aggregate is a sorted list of disjoint intervals. Level 0 makes such lists
 from each batch of rows where it lies; level 1 range-partitions the lists on
 (entity, start) and merges them linearly within each partition; the top level
-stitches what crosses partition borders, from at most two summary rows a
-partition. An entity of any size is spread over partitions, and no list is
-held whole anywhere.
+stitches what crosses partition borders: of the first and last entity of each
+partition one summary row is carried on to the partitions behind, and their
+periods are held against it. An entity of any size is spread over partitions,
+and no list is held whole anywhere.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 from seqloom.session import materialize
 
+_NONE = -(1 << 63)  # no period before; no position is that low
+
 
 def merge_sorted(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linear merge of intervals sorted by (group, start).
@@ -79,15 +82,15 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str) -> Da
             if not len(f):
                 continue
             if held is not None:
-                f = pd.concat([held[[*kf, "a", "z", "before"]], f.assign(before=np.nan)], ignore_index=True)
+                f = pd.concat([held[[*kf, "a", "z", "before"]], f.assign(before=_NONE)], ignore_index=True)
                 before0 = held["before"].iloc[0]
             else:
-                before0 = np.nan
+                before0 = _NONE
             g = _group_codes(f, kf)
             at, z = merge_sorted(g, f["a"].to_numpy(), f["z"].to_numpy())
             out = f.iloc[at].assign(z=z)
             og = g[at]
-            before = np.concatenate([[np.nan], np.where(og[1:] == og[:-1], z[:-1].astype(float), np.nan)])
+            before = np.concatenate([[_NONE], np.where(og[1:] == og[:-1], z[:-1], _NONE)]).astype(np.int64)
             before[0] = before0
             out = out.assign(before=before, pid=pid)
             if first is None:
@@ -111,13 +114,14 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str) -> Da
         return hit
 
     def _finish(out: pd.DataFrame) -> pd.DataFrame:
-        return out.assign(before=out["before"].astype("Int64"))[[*kf, "a", "z", "before", "pid", "edge"]]
+        before = out["before"].astype("Int64")
+        return out.assign(before=before.mask(before == _NONE))[[*kf, "a", "z", "before", "pid", "edge"]]
 
     partial = materialize(rows.mapInPandas(lists, schema))
     sorted_runs = materialize(partial.repartitionByRange(*kf, "a").sortWithinPartitions(*kf, "a").mapInPandas(runs, run_schema))
     inner = sorted_runs.filter(~F.col("edge")).select(*kf, "a", "z", "before")
 
-    # at most the first and the last key of a partition, so at most two rows a partition
+    # periods of the first and the last key of a partition, and of the last key of a batch
     edges = sorted_runs.filter("edge")
     ahead = W.partitionBy(*kf).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
     carry = edges.groupBy(*kf, "pid").agg(F.max("z").alias("top")).withColumn("carry", F.max("top").over(ahead)).drop("top")

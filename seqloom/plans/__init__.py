@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("general", "assignment", "genome", "sequence", "aligning")
+FAMILIES = ("general", "assignment", "genome", "sequence", "aligning", "formats")
 
 
 def _merged(what: str) -> dict:

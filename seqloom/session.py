@@ -47,6 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is deleted when
+    the Python process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/seqloom/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -55,9 +63,8 @@ def materialize(df: DataFrame) -> DataFrame:
     again. The copy is deleted when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/seqloom/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

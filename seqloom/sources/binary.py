@@ -32,8 +32,13 @@ class ByteRange(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
+def _local(path: str) -> str:
+    """A path as all executors open it: without its ``file:`` scheme."""
+    return re.sub(r"^file:/*(?=/)", "", path)
+
+
 def _ranges(path: str, split: int) -> list[ByteRange]:
-    out = []
+    out, path = [], _local(path)
     for name in sorted(glob.glob(path)) if not os.path.isdir(path) else sorted(glob.glob(f"{path}/*")):
         size = os.path.getsize(name)
         step = size if name.endswith(".gz") else split
@@ -390,6 +395,7 @@ def write_bam(df: DataFrame, folder: str, references: list[tuple[str, int]], sor
     head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(references))
     for n, size in references:
         head += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
+    folder = _local(folder)
     os.makedirs(folder, exist_ok=True)
     if sort:
         from pyspark.sql import functions as F
@@ -397,27 +403,26 @@ def write_bam(df: DataFrame, folder: str, references: list[tuple[str, int]], sor
         order = F.coalesce(F.array_position(F.array(*[F.lit(n) for n, _ in references]), F.col("rname")), F.lit(0))
         df = df.orderBy(F.when(order == 0, len(references) + 1).otherwise(order), "pos")
 
-    def write(frames):
-        import pandas as pd
+    def write(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         pid, n, held = TaskContext.get().partitionId(), 0, bytearray()
         path = f"{folder}/part-{pid:05d}.bam"
         with open(f"{path}.{os.getpid()}.tmp", "wb") as out:
             out.write(blocks(head))
-            for f in frames:
-                f = f.astype(object).where(f.notna(), None)
-                for row in f.itertuples(index=False):
-                    held += encode(tuple(row), refs)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    held += encode(row, refs)
                     n += 1
                     if len(held) > 1 << 20:
                         out.write(blocks(bytes(held)))
                         held.clear()
             out.write(blocks(bytes(held)) + END_BLOCK)
         os.replace(out.name, path)  # a task that is tried again gives the same file
-        yield pd.DataFrame({"n": [n]})
+        yield pa.RecordBatch.from_pydict({"n": [n]})
 
-    df.select(*cols).mapInPandas(write, "n long").agg({"n": "sum"}).collect()
+    df.select(*cols).mapInArrow(write, "n long").agg({"n": "sum"}).collect()
 
 
 def register(spark: SparkSession) -> None:
