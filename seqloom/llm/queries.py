@@ -281,7 +281,7 @@ select m.field, m.read_id, m.class_id, coalesce(n.n, 0) n_links, k.g group_id fr
         "p7_letters_placed": 'select doc_id, length("text") letters, (length("text") + 4095) // 4096 pieces, true fits from documents where length("text") > 0',
         "p8_phrases": """
 with d as (select doc_id, regexp_replace(lower(strip_accents("text")), '[^\\p{L}]', '', 'g') t from documents where "text" is not null),
-w as (select item_id, list_filter(regexp_split_to_array(passage, '\\s+'), x -> x <> '') w from eval_items where passage is not null),
+w as (select item_id, list_filter(regexp_split_to_array(passage, '\\s+'), lambda x: x <> '') w from eval_items where passage is not null),
 q as (select item_id, n::int phrase_no, regexp_replace(lower(strip_accents(array_to_string(w[8 * n - 7 : 8 * n], ' '))), '[^\\p{L}]', '', 'g') p from (select *, unnest(range(1, len(w) // 8 + 1)) n from w))
 select doc_id, item_id, phrase_no from d join q on p <> '' and contains(t, p)""",
         "p6_found": _SPANS + "select * from p",
