@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.functions.letters import letters, row_blocks, window_codes, window_index
-from seqloom.functions.sequence import kmer_code, reverse_complement
+from seqloom.functions.sequence import reverse_complement
 
 
 # Two-bit codes of the bases.
 CODES = {"A": 0, "G": 1, "C": 2, "T": 3}
 
 
-def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1) -> DataFrame:
+def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows of ``df`` (without seq) with offset (from 0) and kmer, of windows
     that begin every ``step`` letters and hold only A, C, G and T (any case).
-    kmer is the window's two-bit code, k at most 31.
+    kmer is the window's two-bit code, k at most 31. keep: tells from offsets
+    and the lengths of their texts which windows are wanted.
 
     Windows are cut from whole Arrow batches at once: a column expression
     would walk each text from its start for every window.
@@ -43,33 +44,53 @@ def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1) -> DataFrame:
                     continue
                 d = np.where(c < 256, digit[np.minimum(c, 255)], 255)
                 bad = np.concatenate([[0], np.cumsum(d == 255)])
-                keep = ((at - own[row]) % step == 0) & (bad[at + k] == bad[at])
-                row, at = row[keep], at[keep]
+                good = ((at - own[row]) % step == 0) & (bad[at + k] == bad[at])
+                row, at = row[good], at[good]
+                if keep is not None:
+                    wanted = keep(at - own[row], np.diff(own)[row])
+                    row, at = row[wanted], at[wanted]
                 take = pa.array(lo + row)
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(len(rest))] + [pa.array((at - own[row]).astype(np.int32)), pa.array(window_codes(d & 3, k)[at])], names=[*rest, "offset", "kmer"])
 
     return df.select(*rest, seq).mapInArrow(cut, schema)
 
 
+def pieces(df: DataFrame, seq: str, size: int, more: int = 0) -> DataFrame:
+    """Rows of ``df`` (without seq) with k (from 0) and s: ``size`` letters from
+    letter k * size of seq on, and up to ``more`` that follow. Texts are
+    walked once, and no text is copied for each of its pieces."""
+    rest = [c for c in df.columns if c != seq]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("k", T.IntegerType()), T.StructField("s", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                t = batch.column(len(rest))[r].as_py() or ""
+                # a long text leaves in parts
+                for lo in range(0, len(t), size * 10_000):
+                    parts = [t[i : i + size + more] for i in range(lo, min(len(t), lo + size * 10_000), size)]
+                    own = pa.array(np.full(len(parts), r))
+                    yield pa.RecordBatch.from_arrays([batch.column(i).take(own) for i in range(len(rest))] + [pa.array(lo // size + np.arange(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=[*rest, "k", "s"])
+
+    return df.select(*rest, seq).mapInArrow(cut, schema)
+
+
 def index(contigs: DataFrame, contig: str, seq: str, start: str | None = None, k: int = 16, step: int = 3, most: int = 100) -> DataFrame:
     """(kmer, contig, pos): places of all k-mers that occur at most ``most``
-    times. Hot k-mers are found by a count that is combined before its shuffle
-    and taken out by an anti join, which also takes their skew out of joins."""
+    times. They are counted behind the shuffle that a join by k-mer needs
+    anyway, so texts are cut once and nothing is shuffled for the count."""
     cols = [F.col(contig).alias("contig"), F.col(seq).alias("s"), (F.col(start) if start else F.lit(0)).cast("long").alias("o")]
-    cut = windows(contigs.select(*cols), "s", k, step)
-    places = cut.select("kmer", "contig", (F.col("o") + F.col("offset")).alias("pos"))
-    hot = cut.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("kmer")
-    return places.join(hot, "kmer", "left_anti")
+    places = windows(contigs.select(*cols), "s", k, step).select("kmer", "contig", (F.col("o") + F.col("offset")).alias("pos"))
+    return places.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("kmer"))).filter(F.col("n") <= most).drop("n")
 
 
 def spaced_seeds(reads: DataFrame, read: str, seq: str, n: int = 10, k: int = 16) -> DataFrame:
     """(read, strand, offset, letters, kmer): ``n`` evenly spaced windows of
     each read of either strand (0 as is, 1 reversed and complemented)."""
     both = reads.filter(F.length(seq) >= k).select(F.col(read).alias("read"), F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.upper(seq).alias("s")), F.struct(F.lit(1).alias("strand"), F.upper(reverse_complement(seq)).alias("s")))).alias("x")).select("read", "x.strand", "x.s")
-    last = F.length("s") - k
-    spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * last / max(1, n - 1)).cast("int")))
-    out = both.withColumn("offset", F.explode(spots)).select("read", "strand", "offset", F.substring(F.col("s"), F.col("offset") + 1, F.lit(k)).alias("letters"))
-    return out.withColumn("kmer", kmer_code("letters", k)).filter("kmer is not null")
+    spaced = lambda at, size: (at[:, None] == np.arange(n) * (size[:, None] - k) // max(1, n - 1)).any(axis=1)
+    digits = F.lpad(F.conv(F.col("kmer").cast("string"), 10, 4), k, "0")
+    return windows(both, "s", k, keep=spaced).select("read", "strand", "offset", F.translate(digits, "0123", "".join(CODES)).alias("letters"), "kmer")
 
 
 def dense_seeds(reads: DataFrame, read: str, seq: str, k: int = 16, step: int = 3) -> DataFrame:
@@ -83,11 +104,12 @@ def votes(seeds: DataFrame, places: DataFrame, tolerance: int = 0) -> DataFrame:
     """(read, strand, contig, diagonal, votes, c_start, c_stop): seeds that
     agree on where the read begins. With a tolerance diagonals are rounded
     down to multiples of tolerance + 1, so that short indels vote together."""
-    hits = seeds.join(places, "kmer").withColumn("diagonal", F.col("pos") - F.col("offset"))
+    # both sides have many rows for each row of the tables that Spark estimates them by, so neither may be broadcast
+    hits = seeds.drop("letters").join(places.hint("merge"), "kmer").withColumn("diagonal", F.col("pos") - F.col("offset"))
     if tolerance:
         hits = hits.withColumn("diagonal", F.floor(F.col("diagonal") / (tolerance + 1)) * (tolerance + 1))
-    # a seed may meet its diagonal at more than one place of a contig's overlapping blocks
-    once = hits.groupBy("read", "strand", "contig", "diagonal", "offset").agg(F.lit(1).alias("one"))
+    # hits are shuffled once, by read; a seed may meet its diagonal at more than one place of a contig's overlapping blocks
+    once = hits.select("read", "strand", "contig", "diagonal", "offset").repartition("read").distinct()
     return once.groupBy("read", "strand", "contig", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("offset").alias("c_start"), F.max("offset").alias("c_stop"))
 
 
