@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.functions.letters import letters, row_blocks, window_codes, window_index
+from seqloom.functions.letters import letters, mix, row_blocks, window_codes, window_index
 from seqloom.functions.sequence import reverse_complement
 
 
@@ -19,11 +21,12 @@ from seqloom.functions.sequence import reverse_complement
 CODES = {"A": 0, "G": 1, "C": 2, "T": 3}
 
 
-def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, of: Broadcast | None = None) -> DataFrame:
     """Rows of ``df`` (without seq) with offset (from 0) and kmer, of windows
     that begin every ``step`` letters and hold only A, C, G and T (any case).
     kmer is the window's two-bit code, k at most 31. keep: tells from offsets
-    and the lengths of their texts which windows are wanted.
+    and the lengths of their texts which windows are wanted. of: a map of the
+    k-mers that are wanted (``code_map``); a share of others comes too.
 
     Windows are cut from whole Arrow batches at once: a column expression
     would walk each text from its start for every window.
@@ -35,10 +38,11 @@ def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1, keep: Callable[
         digit[ord(base)] = code
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted_codes = np.frombuffer(of.value, np.uint8) if of is not None else None
         for batch in batches:
-            codes, offsets, _ = letters(batch.column(len(rest)), upper=True)
-            for lo, hi in row_blocks(offsets, 500_000):
-                own, c = offsets[lo : hi + 1] - offsets[lo], codes[offsets[lo] : offsets[hi]]
+            sizes = pc.fill_null(pc.binary_length(batch.column(len(rest))), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in row_blocks(np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]), 200_000):
+                c, own, _ = letters(batch.column(len(rest)).slice(lo, hi - lo), upper=True)
                 row, at = window_index(own, k)
                 if not len(at):
                     continue
@@ -49,38 +53,69 @@ def windows(df: DataFrame, seq: str, k: int = 16, step: int = 1, keep: Callable[
                 if keep is not None:
                     wanted = keep(at - own[row], np.diff(own)[row])
                     row, at = row[wanted], at[wanted]
+                found = window_codes(d & 3, k)[at]
+                if wanted_codes is not None:
+                    byte, bit = _bits(found)
+                    wanted = wanted_codes[byte] & bit > 0
+                    row, at, found = row[wanted], at[wanted], found[wanted]
                 take = pa.array(lo + row)
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(len(rest))] + [pa.array((at - own[row]).astype(np.int32)), pa.array(window_codes(d & 3, k)[at])], names=[*rest, "offset", "kmer"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(len(rest))] + [pa.array((at - own[row]).astype(np.int32)), pa.array(found)], names=[*rest, "offset", "kmer"])
 
     return df.select(*rest, seq).mapInArrow(cut, schema)
 
 
-def pieces(df: DataFrame, seq: str, size: int, more: int = 0) -> DataFrame:
-    """Rows of ``df`` (without seq) with k (from 0) and s: ``size`` letters from
-    letter k * size of seq on, and up to ``more`` that follow. Texts are
-    walked once, and no text is copied for each of its pieces."""
-    rest = [c for c in df.columns if c != seq]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("k", T.IntegerType()), T.StructField("s", T.StringType())])
+MAP_BITS = 28  # 32 MB, whatever the number of k-mers
+MAP_PART = 1 << 16  # bytes of a row of it
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte of the map and bit in it of each k-mer."""
+    h = mix(codes.astype(np.uint64)) >> np.uint64(64 - MAP_BITS)
+    return (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)
+
+
+def code_map(seeds: DataFrame) -> Broadcast:
+    """A bit map, of fixed size, of hashes of the k-mers of ``seeds``, sent to
+    all tasks. At most 64 tasks make maps, which are joined in parts."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MAP_BITS - 3, np.uint8)
         for batch in batches:
-            for r in range(batch.num_rows):
-                t = batch.column(len(rest))[r].as_py() or ""
-                # a long text leaves in parts
-                for lo in range(0, len(t), size * 10_000):
-                    parts = [t[i : i + size + more] for i in range(lo, min(len(t), lo + size * 10_000), size)]
-                    own = pa.array(np.full(len(parts), r))
-                    yield pa.RecordBatch.from_arrays([batch.column(i).take(own) for i in range(len(rest))] + [pa.array(lo // size + np.arange(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=[*rest, "k", "s"])
+            np.bitwise_or.at(bits, *_bits(batch.column(0).to_numpy(zero_copy_only=False)))
+        for part in range(0, len(bits), MAP_PART):
+            if bits[part : part + MAP_PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits[part : part + MAP_PART].tobytes()], pa.binary())], names=["part", "bits"])
 
-    return df.select(*rest, seq).mapInArrow(cut, schema)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.setdefault(part, np.zeros(MAP_PART, np.uint8))[:] |= np.frombuffer(bits.as_buffer(), np.uint8)
+        for part, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+    kind = "part int, bits binary"
+    whole = np.zeros(1 << MAP_BITS - 3, np.uint8)
+    for row in seeds.select("kmer").coalesce(64).mapInArrow(mark, kind).repartition("part").mapInArrow(joined, kind).toLocalIterator():
+        whole[row.part : row.part + MAP_PART] = np.frombuffer(row.bits, np.uint8)
+    return seeds.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
+def pieces(seq: str, size: int, more: int = 0) -> Column:
+    """The pieces of ``size`` letters that follow one another in a text, each
+    with up to ``more`` letters that follow it. Texts are walked once, and no
+    text is copied for each of its pieces."""
+    return F.regexp_extract_all(F.col(seq), F.lit(f"(?s)(?=(.{{1,{size + more}}})).{{1,{size}}}"), F.lit(1))
 
 
-def index(contigs: DataFrame, contig: str, seq: str, start: str | None = None, k: int = 16, step: int = 3, most: int = 100) -> DataFrame:
+def index(contigs: DataFrame, contig: str, seq: str, start: str | None = None, k: int = 16, step: int = 3, most: int = 100, of: DataFrame | None = None) -> DataFrame:
     """(kmer, contig, pos): places of all k-mers that occur at most ``most``
     times. They are counted behind the shuffle that a join by k-mer needs
-    anyway, so texts are cut once and nothing is shuffled for the count."""
+    anyway, so texts are cut once and nothing is shuffled for the count.
+    of: seeds that will be looked up; places of all their k-mers are given,
+    and most others stay where they are."""
     cols = [F.col(contig).alias("contig"), F.col(seq).alias("s"), (F.col(start) if start else F.lit(0)).cast("long").alias("o")]
-    places = windows(contigs.select(*cols), "s", k, step).select("kmer", "contig", (F.col("o") + F.col("offset")).alias("pos"))
+    places = windows(contigs.select(*cols), "s", k, step, of=code_map(of) if of is not None else None).select("kmer", "contig", (F.col("o") + F.col("offset")).alias("pos"))
     return places.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("kmer"))).filter(F.col("n") <= most).drop("n")
 
 
