@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.cigar import leading_clip
 from seqloom.functions.letters import letters
 from seqloom.functions.sequence import fisher
+from seqloom.operators.kmers import pieces
 
 
 def drop_crowded_locations(reads: DataFrame, least: int = 10) -> DataFrame:
@@ -27,19 +29,34 @@ def drop_crowded_locations(reads: DataFrame, least: int = 10) -> DataFrame:
     return place.join(crowded, ["chr", "_at"], "left_anti").drop("_at")
 
 
-def base_counts(reads: DataFrame, least_score: int = 13, trim: int = 3, by: str = "fragment") -> DataFrame:
+def base_counts(reads: DataFrame, least_score: int = 13, trim: int = 3, by: str | None = "fragment") -> DataFrame:
     """(chr, pos, a, c, g, t): bases read at each position.
 
     reads: fragment, chr, pos (of the first base), seq, qual; ungapped.
     Bases within ``trim`` of an end or below ``least_score`` don't count. Of
     the bases of one fragment at one position the best scored counts (then the
     least letter). Reads are parted ``by`` a column that is the same for all
-    reads of a fragment.
+    reads of a fragment; None if those already follow one another in one
+    partition, and no contig is too much for one task: counts, not reads, are
+    then shuffled, once, by chr.
     """
     rows = reads.select("fragment", "chr", "pos", "seq", "qual").filter("seq is not null and qual is not null and pos is not null")
     # whole reads are shuffled and not their bases, and counts leave each task added up
-    partial = rows.repartition(by).sortWithinPartitions("fragment").mapInArrow(_counted_bases(least_score, trim), "chr string, pos long, a long, c long, g long, t long")
-    return partial.groupBy("chr", "pos").agg(*[F.sum(x).alias(x) for x in "acgt"])
+    together = rows.repartition(by).sortWithinPartitions("fragment") if by else rows
+    partial = together.mapInArrow(_counted_bases(least_score, trim), "chr string, pos long, a long, c long, g long, t long")
+    return (partial if by else partial.repartition("chr")).groupBy("chr", "pos").agg(*[F.sum(x).alias(x) for x in "acgt"])
+
+
+def with_reference(counts: DataFrame, contigs: DataFrame, letters: str) -> DataFrame:
+    """Adds ref, the letter of the contig (chr, letters; one row each) at pos
+    (from 1), to counts. Whole contigs are shuffled and not their places; counts are
+    shuffled once, by chr, which also parts them for the sums around them."""
+    size = 64  # a letter is reached within its piece
+    whole = contigs.select("chr", pieces(letters, size).alias("_pieces"))
+    at = F.col("pos") - 1
+    piece = F.get("_pieces", F.floor(at / size).cast("int"))
+    ref = F.substring(piece, (at % size + 1).cast("int"), F.lit(1))
+    return counts.join(whole.hint("merge"), "chr").filter("pos > 0").withColumn("ref", ref).drop("_pieces").filter("ref is not null and ref <> ''")
 
 
 def _counted_bases(least_score: int, trim: int):
@@ -70,7 +87,13 @@ def _counted_bases(least_score: int, trim: int):
             place, b = place[first], b[first]
         digit = np.zeros(256, np.int64)
         digit[list(b"ACGT")] = range(4)
-        code, count = np.unique(place * 4 + digit[b], return_counts=True)
+        code = place * 4 + digit[b]
+        if int(code.max()) < 4 * len(code):
+            count = np.bincount(code)
+            code = np.flatnonzero(count)
+            count = count[code]
+        else:
+            code, count = np.unique(code, return_counts=True)
         places, where = np.unique(code >> 2, return_inverse=True)
         out = np.zeros((len(places), 4), np.int64)
         out[where, code & 3] = count
@@ -84,7 +107,7 @@ def _counted_bases(least_score: int, trim: int):
             for at in range(0, batch.num_rows, 500):
                 t = pa.Table.from_batches([batch.slice(at, 500)])
                 held = t if held is None else pa.concat_tables([held, t])
-                size += sum(len(x) for x in t.column(3).to_pylist())
+                size += pc.sum(pc.binary_length(t.column(3))).as_py()
                 if size < 1_000_000:
                     continue
                 # the last fragment may go on in the next rows
@@ -127,16 +150,17 @@ def with_background(counts: DataFrame, width: int = 5) -> DataFrame:
     return near.withColumn("bg_matches", F.col("bg_matches") - F.col("matches")).withColumn("bg_mismatches", F.col("bg_mismatches") - F.col("mismatches"))
 
 
-def call_variants(counts: DataFrame, reference: DataFrame, known: DataFrame | None = None, width: int = 5, upper: float = 5e-3, depth_unit: float = 50 / 12, least_total: int = 1, least_alternatives: int = 1, least_share: float = 0.0) -> DataFrame:
+def call_variants(counts: DataFrame, reference: DataFrame | None, known: DataFrame | None = None, width: int = 5, upper: float = 5e-3, depth_unit: float = 50 / 12, least_total: int = 1, least_alternatives: int = 1, least_share: float = 0.0) -> DataFrame:
     """Positions whose mismatches exceed those around them.
 
-    counts: chr, pos, a, c, g, t; reference: chr, pos, ref; known: chr, pos of
+    counts: chr, pos, a, c, g, t; reference: chr, pos, ref (None if counts
+    have ref; it has a row a place, so it isn't broadcast); known: chr, pos of
     known variants, which don't count as background. The cutoff falls
     with the depth around a position; at least 80 % of the bases around must
     match. Result: chr, pos, ref, alts (by count, then letter), total,
     mismatches, bg_total, bg_mismatches, p, quality.
     """
-    joined = counts.join(reference, ["chr", "pos"])
+    joined = counts.join(reference.hint("merge"), ["chr", "pos"]) if reference is not None else counts
     total = F.col("a") + F.col("c") + F.col("g") + F.col("t")
     match = F.when(F.col("ref") == "A", F.col("a")).when(F.col("ref") == "C", F.col("c")).when(F.col("ref") == "G", F.col("g")).when(F.col("ref") == "T", F.col("t"))
     own = joined.withColumn("total", total).withColumn("matches", match).filter("matches is not null").withColumn("mismatches", F.col("total") - F.col("matches"))
