@@ -7,6 +7,7 @@ itself, row by row of the read over all reference places at once, is Python.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,28 +29,61 @@ def best_path(read: np.ndarray, ref: np.ndarray, match: int = MATCH, mismatch: i
 
     Of equal paths the one with fewer gaps, then further left, is taken.
     """
-    n, m = len(read), len(ref)
+    return _paths(read[None], ref[None], match, mismatch, gap)[0]
+
+
+def best_paths(pairs: list[tuple[str, str]]) -> list[tuple[int, int, str, int]]:
+    """``best_path`` of each read and reference. A read that stands in its
+    reference as it is needs no path; others of like lengths are solved together."""
+    out: list = [None] * len(pairs)
+    like: dict[tuple[int, int], list[int]] = defaultdict(list)
+    codes = lambda t: np.frombuffer(t.encode(), np.uint8)
+    for i, (s, w) in enumerate(pairs):
+        at = w.find(s) if s and s.isascii() and w.isascii() else -1
+        if at >= 0:
+            out[i] = (MATCH * len(s), at, f"{len(s)}M", 0)
+        else:
+            like[len(s.encode()), len(w.encode())].append(i)
+    for (n, m), rows in like.items():
+        step = max(1, 2_000_000 // ((n + 1) * (m + 1)))
+        for lo in range(0, len(rows), step):
+            own = rows[lo : lo + step]
+            read, ref = (np.stack([codes(pairs[i][x]) for i in own]) for x in (0, 1))
+            for i, path in zip(own, _paths(read, ref, MATCH, MISMATCH, OPEN)):
+                out[i] = path
+    return out
+
+
+def _paths(read: np.ndarray, ref: np.ndarray, match: int, mismatch: int, gap: int) -> list[tuple[int, int, str, int]]:
+    """Best paths of reads (one a row) in references (one a row)."""
+    (rows, n), m = read.shape, ref.shape[1]
     scale = 1024  # small costs below the unit settle ties
-    s = np.where(read[:, None] == ref[None, :], match, mismatch) * scale
     cost = gap * scale - 1
-    d = np.full((n + 1, m + 1), -(1 << 40), np.int64)
+    low = np.full((rows, 1), -(1 << 40), np.int64)
+    d = np.full((n + 1, rows, m + 1), -(1 << 40), np.int64)
     d[0] = 0
-    back = np.zeros((n + 1, m + 1), np.int8)  # 0 diagonal, 1 gap in the reference (insertion), 2 gap in the read (deletion)
-    column = np.full(m + 1, -(1 << 40), np.int64)
+    back = np.zeros((n + 1, rows, m + 1), np.int8)  # 0 diagonal, 1 gap in the reference (insertion), 2 gap in the read (deletion)
+    column = np.full((rows, m + 1), -(1 << 40), np.int64)
     for i in range(1, n + 1):
         if i > 1:  # an alignment doesn't begin with an insertion
             column = np.maximum(column, d[i - 1])
-        diagonal = np.concatenate([[-(1 << 40)], d[i - 1, :-1] + s[i - 1]])
+        s = np.where(read[:, i - 1, None] == ref, match * scale, mismatch * scale)
+        diagonal = np.concatenate([low, d[i - 1, :, :-1] + s], axis=1)
         up = column + cost
         own = np.maximum(diagonal, up)
         back[i] = up > diagonal
         if i < n:
-            reach = np.concatenate([[-(1 << 40)], np.maximum.accumulate(own)[:-1]]) + cost
+            reach = np.concatenate([low, np.maximum.accumulate(own, axis=1)[:, :-1]], axis=1) + cost
             back[i][reach > own] = 2
             own = np.maximum(own, reach)
         d[i] = own
-    j = int(np.argmax(d[n]))
-    score, i, ops = int(d[n, j]), n, []
+    last = np.argmax(d[n], axis=1)
+    return [_traced(read[r], ref[r], d[:, r], back[:, r], int(last[r]), scale, cost) for r in range(rows)]
+
+
+def _traced(read: np.ndarray, ref: np.ndarray, d: np.ndarray, back: np.ndarray, j: int, scale: int, cost: int) -> tuple[int, int, str, int]:
+    """The path that ends at place j, from its end to its start."""
+    score, i, ops = int(d[len(read), j]), len(read), []
     wrong = 0
     while i > 0:
         kind = back[i, j]
@@ -89,17 +123,17 @@ def align(candidates: DataFrame, reads: DataFrame, blocks: DataFrame, slack: int
     pos (from 1), cigar, score, mismatches, mapq, ties. Reads whose best score
     is below ``least_share`` of the greatest possible are left out.
     """
-    c = candidates.join(reads, ["read", "strand"]).select("read", "strand", "contig", "diagonal", "s")
-    met = containing(c, blocks, ["contig"], "diagonal", ("b_start", "b_stop"))
+    # reads cut from texts and letters are more than Spark estimates them to be, so they may not be broadcast
+    c = candidates.join(reads.hint("merge"), ["read", "strand"]).select("read", "strand", "contig", "diagonal", "s")
+    met = containing(c, blocks.hint("merge"), ["contig"], "diagonal", ("b_start", "b_stop"))
     lo = F.greatest(F.lit(0), F.col("diagonal") - F.col("b_start") - slack)
     window = F.substring(F.col("letters"), (lo + 1).cast("int"), (F.length("s") + 2 * slack).cast("int"))
     work = met.select("read", "strand", "contig", (F.col("b_start") + lo).alias("w_start"), F.upper("s").alias("s"), F.upper(window).alias("w")).filter(F.length("w") >= F.length("s") / 2)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                score, at, ops, wrong = best_path(np.frombuffer(r.s.encode(), np.uint8), np.frombuffer(r.w.encode(), np.uint8))
+            out, solved = [], best_paths(list(zip(f["s"], f["w"])))
+            for r, (score, at, ops, wrong) in zip(f.itertuples(index=False), solved):
                 out.append((r.read, r.strand, r.contig, r.w_start + at + 1, ops, score, wrong, len(r.s)))
             yield pd.DataFrame(out, columns=["read", "strand", "contig", "pos", "cigar", "score", "mismatches", "size"])
 

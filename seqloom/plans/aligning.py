@@ -35,8 +35,9 @@ def g10_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads cut from the blocks, placed again."""
     r = _changed_reads(spark, sf_dir)
     both = r.select("read", F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.upper("s").alias("s")), F.struct(F.lit(1).alias("strand"), F.upper(reverse_complement("s")).alias("s")))).alias("x")).select("read", "x.*")
-    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=100)
-    best = kmers.best_votes(kmers.votes(kmers.spaced_seeds(r, "read", "s"), index), 2, 2)
+    seeds = kmers.spaced_seeds(r, "read", "s")
+    index = kmers.index(table(spark, sf_dir, "index_blocks"), "chro_name", "base_values", "start_base_offset", step=1, most=100, of=seeds)
+    best = kmers.best_votes(kmers.votes(seeds, index), 2, 2)
     return al.align(best, both, _blocks(spark, sf_dir))
 
 

@@ -14,7 +14,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["a16_votes", "w3_best_votes", "k10_planted_variants"])
+@pytest.mark.parametrize("name", ["a16_votes", "w3_best_votes", "k10_planted_variants", "g10_aligned"])
 def test_places_and_seeds_are_not_broadcast(spark, name):
     df = all_queries()[name](spark, SF)
     assert "Broadcast" not in _plan(df) and "SortMergeJoin" in _plan(df)
